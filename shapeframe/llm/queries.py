@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, urlfilter
+from . import decontam, linededup, mixing, pii, quality, tokens, urlfilter
 from .common import table
 
+#: The vocabulary of op6; its path is a parameter of the operator.
+VOCABULARY = "byte_bpe_50k.json"
+
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -17,10 +20,28 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), urlfilter.RULES).drop("listed")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = linededup.dedup_documents(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op5_decontaminate, op6_count_tokens, op8_quality_rules, op9_find_pii, op10_line_dedup)}
 ORACLE_SQL = {"op1_mix_sources": mixing.ORACLE, "op2_url_filter": urlfilter.ORACLE, "op10_line_dedup": linededup.ORACLE}
