@@ -17,12 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a temporary one only where none is set, as in tests."""
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if folder.isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return folder.get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, materialised in the cluster's shared checkpoint folder, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -113,6 +113,18 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log((target + prior * p_raw) / (target.sum() + prior)) - np.log(p_raw)
 
 
+def fit(documents: DataFrame, labels: DataFrame, n: int, bits: int, max_labels: int, id_col: str, text_col: str) -> np.ndarray:
+    """The log-likelihood ratio of each bucket."""
+    good = labels.where("quality = 1").where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
+    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
+    return log_ratios(*ngram_counts(documents, [r[0] for r in chosen.collect()], n, bits, id_col, text_col))
+
+
+def scores(data: np.ndarray, at: np.ndarray, ratio: np.ndarray, n: int, bits: int) -> np.ndarray:
+    bucket, row = ngram_buckets(data, at, n, bits)
+    return np.bincount(row, ratio[bucket], minlength=len(at) - 1) / np.maximum(np.bincount(row, minlength=len(at) - 1), 1)
+
+
 def judge(
     documents: DataFrame,
     labels: DataFrame,
@@ -124,19 +136,40 @@ def judge(
     text_col: str = "text",
 ) -> DataFrame:
     """doc_id, the base counts, score, base_failed and kept, a row for each document."""
-    good = labels.where("quality = 1").where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
-    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
-    ratio = log_ratios(*ngram_counts(documents, [r[0] for r in chosen.collect()], n, bits, id_col, text_col))
+    ratio = fit(documents, labels, n, bits, max_labels, id_col, text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, at in arrays.chunks(batch.column(1)):
-                bucket, row = ngram_buckets(data, at, n, bits)
-                many = np.bincount(row, minlength=b - a)
-                mean = np.bincount(row, ratio[bucket], minlength=b - a) / np.maximum(many, 1)
+                mean = scores(data, at, ratio, n, bits)
                 stats = [pa.array(x, pa.int64()) for x in base_counts(data, at)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *stats, pa.array(mean)], _STATS.names)
 
     s = documents.select(F.col(id_col).cast("long"), text_col).mapInArrow(score, _STATS)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return s.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+
+
+def keep_good(
+    documents: DataFrame,
+    labels: DataFrame,
+    threshold: float = -0.3,
+    n: int = 3,
+    bits: int = 15,
+    max_labels: int = 20_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The documents that judge() keeps, with all their columns; each is judged where it is read."""
+    ratio = fit(documents, labels, n, bits, max_labels, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch], at_col: int = documents.columns.index(text_col)) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for a, b, data, at in arrays.chunks(batch.column(at_col)):
+                words, *_, repeated = base_counts(data, at)
+                failed = (words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * words)
+                keep[a:b] = ~failed & (scores(data, at, ratio, n, bits) >= threshold)
+            yield batch.filter(pa.array(keep))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, jaccard, linededup, mixing, pii, quality, tokens, urlfilter
+from . import chat, decontam, htmltext, jaccard, linededup, mixing, pii, quality, tokens, urlfilter
 from .common import table
 
 #: The vocabulary of op6; its path is a parameter of the operator.
@@ -24,6 +24,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chat.format_chat(table(spark, sf_dir, "conversations"), chat.REPLY, turns_as_calls=True).drop("part", "errors")
+    return c.withColumns({"linked": F.coalesce("linked", F.lit(False)), "valid": F.coalesce("valid", F.lit(True))})
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,5 +56,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_ngram_jaccard, op5_decontaminate, op6_count_tokens, op7_html_text, op8_quality_rules, op9_find_pii, op10_line_dedup)}
-ORACLE_SQL = {"op1_mix_sources": mixing.ORACLE, "op2_url_filter": urlfilter.ORACLE, "op10_line_dedup": linededup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_ngram_jaccard, op4_chat_format, op5_decontaminate, op6_count_tokens, op7_html_text, op8_quality_rules, op9_find_pii, op10_line_dedup)}
+ORACLE_SQL = {"op1_mix_sources": mixing.ORACLE, "op2_url_filter": urlfilter.ORACLE, "op4_chat_format": chat.ORACLE, "op10_line_dedup": linededup.ORACLE}
