@@ -6,8 +6,9 @@ items above their threshold (a part ``min_score`` of the item's score for its ow
 
 1. Essential terms. Each item's terms are essential from the rarest on, until the rest can contribute at most ``slack``
    of the item's own score. Common words so are never looked at first, as in WAND's choice of a pivot.
-2. Block-max bound. A passage's essential terms add up each block's largest contributions. Only (passage, block)
-   pairs whose sum reaches the smallest score that the block's items still need are scored in full.
+2. Block-max bound. A passage's essential terms add up each block's largest contributions. Only passages with a block
+   whose sum reaches the smallest score that its items still need go on: first with what the essential terms contribute
+   to each item, then, for what still can reach its threshold, with the full score.
 3. Verification. A retrieved item leaks if the passage holds at least ``min_overlap`` of the 5-word shingles of both its
    question (first half) and its answer (second half).
 
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
+from .common import over_batches
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -93,7 +95,8 @@ class Index:
         missing = np.bincount(item[~essential[term]], score[~essential[term]], minlength=n)
         self.blocks = -(-n // block)
         self.needs = np.full(self.blocks, np.inf)
-        np.minimum.at(self.needs, np.arange(n) // block, self.threshold - missing - 1e-9)
+        self.item_needs = self.threshold - missing - 1e-9
+        np.minimum.at(self.needs, np.arange(n) // block, self.item_needs)
         # Postings by term: items with scores, and blocks with their largest score.
         by_term = np.argsort(term, kind="stable")
         self.items, self.scores = item[by_term], score[by_term]
@@ -125,9 +128,17 @@ class Index:
         key, inverse = np.unique(np.repeat(passage, span) * self.blocks + self.block_of[into], return_inverse=True)
         bound = np.bincount(inverse, self.block_max[into], minlength=len(key))
         key = key[bound >= self.needs[key % self.blocks]]
+        # The passages that remain: what their essential terms contribute to each item.
+        near = np.isin(passage, np.unique(key // self.blocks))
+        passage, term = passage[near], term[near]
+        span = self.posted[term + 1] - self.posted[term]
+        into = np.repeat(self.posted[term] - (np.cumsum(span) - span), span) + np.arange(span.sum())
+        pair, inverse = np.unique(np.repeat(passage, span) * len(self.ids) + self.items[into], return_inverse=True)
+        bound = np.bincount(inverse, self.scores[into], minlength=len(pair))
+        pair = pair[bound >= self.item_needs[pair % len(self.ids)]]
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         row_of = np.repeat(np.arange(len(many)), many)
-        for passage in np.unique(key // self.blocks):
+        for passage in np.unique(pair // len(self.ids)):
             row = int(row_of[passage])
             a = int(w.first[row] + (passage - base[row]) * stride)
             z = min(a + 2 * stride, int(w.first[row] + w.count[row]))
@@ -182,7 +193,7 @@ def find_leaks(
                     columns = [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64()), (4, pa.float64()))]
                     yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        part = documents.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        part = documents.select(F.col(id_col).cast("long"), text_col).transform(over_batches, run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -209,5 +220,5 @@ def drop_leaks(
                         keep[a + r[0]] = False
                 yield batch.filter(pa.array(keep))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = documents.transform(over_batches, run, documents.schema)
     return documents
