@@ -199,7 +199,7 @@ def _variant(q, rows, path, target, ctx, restricted, budget, parts, rules) -> Da
 
 def _struct(q: Query, fields: dict[str, Field], at: str, parts: dict[str, Column], rules: list[Rule], rows: DataFrame, inside: Column | None = None) -> Column:
     """The struct of some fields; inside tells when they are expected, for fields that aren't optional."""
-    have = {c.alias for c in q.columns}
+    have = {c.alias for c in q.columns if c.role in ("field", "computed", "tag")}
     out = []
     for f, x in fields.items():
         path = at + f
