@@ -75,7 +75,7 @@ class Index:
         self.min_overlap, self.block = min_overlap, block
         own = [w.hash[w.first[i] : w.first[i] + w.count[i]] for i in order]
         self.terms = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
-        n, lengths = len(own), np.array([len(x) for x in own])
+        n, lengths = len(own), np.array([len(x) for x in own], np.int64)
         self.longest = int(lengths.max()) if n else 1
         item = np.repeat(np.arange(n), lengths)
         pair, tf = np.unique(item * max(1, len(self.terms)) + np.searchsorted(self.terms, np.concatenate(own) if own else np.zeros(0, np.uint64)), return_counts=True)

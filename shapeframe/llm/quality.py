@@ -26,10 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays
+from .common import over_batches
 
 #: Fixed by the contract.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: So a target of a few short texts says little.
+PRIOR = 50_000
 
 _STATS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [T.StructField("score", T.DoubleType())])
 
@@ -97,7 +100,7 @@ def ngram_counts(documents: DataFrame, trusted: list[int], n: int, bits: int, id
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], ["bucket", "raw", "target"])
 
-    counts = documents.select(F.col(id_col).cast("long"), text_col).mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
+    counts = documents.select(F.col(id_col).cast("long"), text_col).transform(over_batches, count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
     raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
     for b, r, t in counts.collect():
         raw[b], target[b] = r, t
@@ -105,11 +108,11 @@ def ngram_counts(documents: DataFrame, trusted: list[int], n: int, bits: int, id
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log(p_target / p_raw) by bucket; the target is smoothed by the corpus, as if it held 1 % of its own size more of it."""
+    """log(p_target / p_raw) by bucket; the target is smoothed by the corpus, as if it held PRIOR n-grams and 1 % of its own size more of it."""
     if not raw.sum() or not target.sum():
         return np.zeros(len(raw))
     p_raw = (raw + 1e-3) / (raw + 1e-3).sum()
-    prior = 0.01 * target.sum()
+    prior = PRIOR + 0.01 * target.sum()
     return np.log((target + prior * p_raw) / (target.sum() + prior)) - np.log(p_raw)
 
 
@@ -145,7 +148,7 @@ def judge(
                 stats = [pa.array(x, pa.int64()) for x in base_counts(data, at)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *stats, pa.array(mean)], _STATS.names)
 
-    s = documents.select(F.col(id_col).cast("long"), text_col).mapInArrow(score, _STATS)
+    s = documents.select(F.col(id_col).cast("long"), text_col).transform(over_batches, score, _STATS)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return s.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
 
@@ -172,4 +175,4 @@ def keep_good(
                 keep[a:b] = ~failed & (scores(data, at, ratio, n, bits) >= threshold)
             yield batch.filter(pa.array(keep))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.transform(over_batches, run, documents.schema)
