@@ -123,6 +123,32 @@ def merge(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return kept.unionByName(new.select(*[F.col(quote(f.name)).cast(f.dataType).alias(f.name) for f in old.schema]))
 
 
+def among(df: DataFrame, column: str, values: list[Any], inside: bool = True) -> DataFrame:
+    """Rows whose column is (or isn't) one of the values: literals if they are few, else a join with them as a frame."""
+    values = list(dict.fromkeys(v for v in values if v is not None))
+    if len(values) <= 200:
+        found = F.coalesce(F.col(quote(column)).isin(*values), F.lit(False)) if values else F.lit(False)
+        return df.where(found if inside else ~found)
+    k = df.sparkSession.createDataFrame([(v,) for v in values], T.StructType([T.StructField("_among", df.schema[column].dataType)]))
+    return df.join(k, F.col(quote(column)) == F.col("_among"), "left_semi" if inside else "left_anti")
+
+
+def without(df: DataFrame, column: str, values: list[Any], key: str | None, kept: list[Any]) -> DataFrame:
+    """df less the rows with one of the values, but for those whose key is kept."""
+    rest = among(df, column, values, False)
+    return rest.unionByName(among(among(df, column, values), key, kept)) if key and kept else rest
+
+
+def _together(entries: list[tuple[str, list[Any], str | None, list[Any]]]) -> dict[tuple[str, str | None], tuple[list[Any], list[Any]]]:
+    """Entries of one column and key as one. (What one of them keeps is written again, so the others may keep it too.)"""
+    out: dict[tuple[str, str | None], tuple[list[Any], list[Any]]] = {}
+    for column, values, key, kept in entries:
+        v, k = out.setdefault((column, key), ([], []))
+        v.extend(values)
+        k.extend(kept)
+    return out
+
+
 class Write:
     """Collects what a write does to each table, and applies it by sets."""
 
@@ -135,6 +161,7 @@ class Write:
         self.versions: list[tuple[View, str, Any, Any, bool]] = []
         self.next_key: dict[str, int] = {}
         self.nulls: dict[str, list[tuple[str, str, list[Any], list[Any]]]] = {}
+        self.gone: dict[tuple[str, str], tuple[View, list[Any], list[Any]]] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.before.table(name)
@@ -250,17 +277,23 @@ class Write:
         self.links.setdefault(x.through, []).extend({x.fk: key, x.target: k} | ({x.index: i} if x.index else {}) for i, k in enumerate(keys))
 
     def _gone(self, target: View, fk: str, parents: list[Any], kept: list[Any]) -> None:
-        """Elements of the parents that aren't kept go, with what they own."""
-        if target.table not in self.before.made:
-            return
-        t = self.table(target.table)
-        gone = t.where(F.col(quote(fk)).isin(*parents))
-        gone = gone.where(~F.col(quote(target.key)).isin(*kept)) if kept else gone
-        if _owns(target):
-            keys = [r[0] for r in gone.select(quote(target.key)).collect()]
-            if keys:
-                self._remove_owned(target, target.fields, keys)
-        self.dropped.setdefault(target.table, []).append((fk, parents, target.key, kept))
+        """Elements of the parents that aren't kept go, with what they own; all of one collection's together."""
+        if target.table in self.before.made:
+            _, all_parents, all_kept = self.gone.setdefault((target.name, fk), (target, [], []))
+            all_parents.extend(parents)
+            all_kept.extend(kept)
+
+    def _cascade(self) -> None:
+        """What the elements that go own goes too, level by level: one query for each level."""
+        while self.gone:
+            level, self.gone = self.gone, {}
+            for (_, fk), (target, parents, kept) in level.items():
+                if _owns(target):
+                    t = among(self.table(target.table), fk, parents)
+                    keys = [r[0] for r in among(t, target.key, kept, False).select(quote(target.key)).collect()]
+                    if keys:
+                        self._remove_owned(target, target.fields, keys)
+                self.dropped.setdefault(target.table, []).append((fk, parents, target.key, kept))
 
     def remove(self, view: View, keys: list[Any]) -> None:
         self._remove_owned(view, view.fields, keys)
@@ -294,10 +327,10 @@ class Write:
         old: dict[str, Any] = {view.key: key}
         new: dict[str, Any] = {view.key: key} | (extra or {})
         quiet = Write.__new__(Write)  # only to read the old row's columns
-        quiet.__dict__.update(self.__dict__ | {"rows": {}, "dropped": {}, "links": {}, "versions": []})
+        quiet.__dict__.update(self.__dict__ | {"rows": {}, "dropped": {}, "links": {}, "versions": [], "gone": {}})
         quiet._columns(view, view.fields, "", before, old, key)
         probe = Write.__new__(Write)
-        probe.__dict__.update(self.__dict__ | {"rows": {}, "dropped": {}, "links": {}, "versions": []})
+        probe.__dict__.update(self.__dict__ | {"rows": {}, "dropped": {}, "links": {}, "versions": [], "gone": {}})
         probe._columns(view, view.fields, "", after, new, key)
         changed = {c: v for c, v in new.items() if c == view.key or c not in old or old[c] != v}
         for name in ("rows", "dropped", "links"):  # variant tables
@@ -305,6 +338,10 @@ class Write:
             if str(theirs) != str(getattr(quiet, name)):
                 for k, v in theirs.items():
                     mine.setdefault(k, []).extend(v)
+        if probe.gone and str(probe.gone) != str(quiet.gone):
+            for target, parents, kept in probe.gone.values():
+                fk = next(f for (n, f), x in probe.gone.items() if x[0] is target and x[1] is parents)
+                self._gone(target, fk, parents, kept)
         if view.version_field:
             changed.pop(view.fields[view.version_field].column or view.version_field, None)
         if len(changed) > 1:
@@ -343,18 +380,17 @@ class Write:
 
     def commit(self) -> int:
         self._check_versions()
+        self._cascade()
         out: dict[str, DataFrame] = {}
         names = {t for t, _, _ in self.rows} | set(self.links) | set(self.dropped) | set(self.nulls)
         for name in sorted(names):
             df = self.table(name)
-            for column, values, key, kept in self.dropped.get(name, []):
-                gone = F.col(quote(column)).isin(*values)
-                gone = gone & ~F.col(quote(key)).isin(*kept) if key and kept else gone
-                df = df.where(~F.coalesce(gone, F.lit(False)))
-            for column, key, parents, kept in self.nulls.get(name, []):
-                loose = F.col(quote(column)).isin(*parents)
-                loose = loose & ~F.col(quote(key)).isin(*kept) if kept else loose
-                df = df.withColumn(column, F.when(F.coalesce(loose, F.lit(False)), F.lit(None)).otherwise(F.col(quote(column))))
+            for (column, key), (values, kept) in _together(self.dropped.get(name, [])).items():
+                df = without(df, column, values, key, kept)
+            for (column, key), (parents, kept) in _together([(c, p, k, e) for c, k, p, e in self.nulls.get(name, [])]).items():
+                loose = among(df, column, parents)
+                loose = among(loose, key, kept, False).withColumn(column, F.lit(None).cast(df.schema[column].dataType))
+                df = without(df, column, parents, key, kept).unionByName(loose)
             for (table, key, columns), rows in self.rows.items():
                 if table == name:
                     last = {r[key]: r for r in rows}
@@ -381,7 +417,7 @@ class Write:
             mine = [(k, v, i) for w, _, k, v, i in self.versions if w is view]
             column = next(c for w, c, *_ in self.versions if w is view)
             t = self.table(view.table)
-            found = {r[0]: r[1] for r in t.where(F.col(quote(view.key)).isin(*[k for k, _, _ in mine])).select(quote(view.key), quote(column)).collect()}
+            found = {r[0]: r[1] for r in among(t, view.key, [k for k, _, _ in mine]).select(quote(view.key), quote(column)).collect()}
             for k, v, insert in mine:
                 if (k in found and found[k] != v) or (k not in found and not insert):
                     raise Conflict(view.name, "", f"the row with key {k} was changed or deleted since it was loaded")
