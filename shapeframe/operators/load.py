@@ -151,7 +151,7 @@ class Load:
             rows = rows.join(k, key == F.col("shapeframe_key"), "left_semi")
         if self.condition is not None:
             rows = rows.where(self.condition.to_column(resolve))
-        if self.order or self.limit_ is not None or self.offset_:
+        if self.limit_ is not None or self.offset_:  # else only the result is ordered
             rows = rows.orderBy(*[ordered(resolve(c), d) for c, d in self.order], ordered(key, False))
         if self.offset_:
             rows = rows.offset(self.offset_)
@@ -216,7 +216,7 @@ class Load:
     def key_frame(self) -> DataFrame:
         """The keys of the roots that match, filtered, ordered and paged."""
         q = plan(self.view)
-        return self.root(q).select(column(q.key_alias).alias("key"))
+        return self._sorted(q, self.root(q)).select(column(q.key_alias).alias("key"))
 
     def all(self) -> list[Record]:
         self._no_graph()

@@ -142,12 +142,19 @@ def collect(target: Query, child: DataFrame, at: Child) -> DataFrame:
     elif "$row" in child.columns:
         order = [column("$row").alias("p0")]
     else:
-        order = [x for i, (c, _) in enumerate(target.order()) for x in (column(target.alias_of(c)).isNull().alias(f"n{i}"), column(target.alias_of(c)).alias(f"p{i}"))]
+        order = []
+        for i, (c, _) in enumerate(target.order()):
+            alias = target.alias_of(c)
+            declared = next((x.type for x in target.columns if x.alias == alias), None)
+            if declared is None or declared.nullable:
+                order.append(column(alias).isNull().alias(f"n{i}"))
+            order.append(column(alias).alias(f"p{i}"))
     kind = child.schema[VALUE].dataType
-    items = F.collect_list(F.struct(*order, value.alias("v")))
+    struct = F.struct(*order, value.alias("v"))
+    items = F.collect_list(struct)
     # Sorting structs compares the value only after equal orders; a map can't be compared, so it is left out of the struct.
     if not _comparable(kind):
-        names = [f"x.{n}" for n in (["p0"] if len(order) == 1 else [y for i in range(len(order) // 2) for y in (f"n{i}", f"p{i}")])]
+        names = [f"x.{n}" for n in child.select(struct.alias("s")).schema["s"].dataType.names if n != "v"]
         less = " ".join(f"WHEN {n} < {n.replace('x.', 'y.', 1)} THEN -1 WHEN {n} > {n.replace('x.', 'y.', 1)} THEN 1" for n in names)
         grouped = child.groupBy(column("$parent")).agg(items.alias("$all"))
         out = grouped.select("$parent", F.expr(f"transform(array_sort(`$all`, (x, y) -> CASE {less} ELSE 0 END), z -> z.v)").alias("$items"), "$all")

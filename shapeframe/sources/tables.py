@@ -23,6 +23,7 @@ class Tables:
         self.spark = spark
         self.folder = tables if isinstance(tables, str) else None
         self.made: dict[str, DataFrame | Callable[[], DataFrame]] = {} if isinstance(tables, str) else dict(tables)
+        self.absent: set[str] = set()
 
     def with_tables(self, **more: DataFrame) -> Tables:
         out = Tables(self.spark, self.made)
@@ -73,5 +74,10 @@ class Tables:
             raise QueryError(view, path, f"{e}\n  sql: {text}") from e
 
     def _exists(self, name: str) -> bool:
+        if name in self.absent:
+            return False
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.parquet")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        if not found:
+            self.absent.add(name)
+        return found
