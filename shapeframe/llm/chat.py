@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, over_batches
 
 _MARK = re.compile(r"<(tool_call|tool_result)>(.*?)</\1>", re.S)
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
@@ -144,7 +144,7 @@ def format_chat(
     schema = "conv_id long, turn long, role string, part long, kind string, call_id string, json string, valid boolean, errors string, refs array<string>"
     m = messages.select(F.col(conversation_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     same = Window.partitionBy("conv_id", "kind", "call_id", F.when(F.col("call_id").isNull(), F.xxhash64("turn", "part", "json")))
-    p = m.mapInArrow(read, schema).withColumn("occurrence", F.row_number().over(same.orderBy("turn", "part", F.xxhash64("json"))))
+    p = m.transform(over_batches, read, schema).withColumn("occurrence", F.row_number().over(same.orderBy("turn", "part", F.xxhash64("json"))))
     p = cut(p)
 
     key = ["conv_id", "call_id", "occurrence"]

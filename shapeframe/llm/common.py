@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,6 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of frames that nobody holds any more, instead of when memory happens to run low."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if it is counted to have at most that many (narrow) rows. Pass materialised rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -44,3 +55,26 @@ def words(text: Column) -> Column:
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package, once for each application: they need it to run functions over Arrow batches."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parents[1]
+    if context.applicationId in _shipped or not root.is_dir():
+        return
+    _shipped.add(context.applicationId)
+    out = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(out))
+
+
+def over_batches(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """mapInArrow, with this package on the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

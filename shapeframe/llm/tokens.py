@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
+from .common import over_batches
 
 #: Input symbols: letter, number, other; white space inside a run, a space before a non-space, other space before a
 #: non-space; an apostrophe that can open a two- or three-character ending; the start of a text.
@@ -286,5 +287,5 @@ def count_tokens(documents: DataFrame, vocabulary: str, limit: int = 512, id_col
                 counts = counter.count([whole[i:j].decode("utf-8", "replace") for i, j in zip(at[:-1], at[1:], strict=True)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])
 
-    d = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    d = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).transform(over_batches, run, "doc_id long, n_bytes long, n_tokens long")
     return d.withColumn("over_limit", F.col("n_tokens") > limit)
