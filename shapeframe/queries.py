@@ -304,6 +304,12 @@ def report_wrapped(t):
     return _report(Revenue, t).filter(col("n_orders").ge(2) & col("c_custkey").lt(500)).order_by_desc("n_orders").limit(30).frame().select("id", "n_orders")
 
 
+@query(f"SELECT id, n_orders FROM ({_REPORT_SQL}) WHERE n_orders >= 2 ORDER BY n_orders DESC, id LIMIT 30")
+def report_wrapped_all(t):
+    """report_wrapped without its cut of ids."""
+    return _report(Revenue, t).filter(col("n_orders").ge(2)).order_by_desc("n_orders").limit(30).frame().select("id", "n_orders")
+
+
 @query(f"SELECT r.id, r.n_orders, o_orderkey AS order_id FROM ({_REPORT_SQL}) r JOIN orders ON o_custkey = r.id")
 def report_with_child(t):
     return _report(RevenueOrders, t).frame().select("id", "n_orders", F.explode("orders").alias("o")).select("id", "n_orders", F.col("o.id").alias("order_id"))
@@ -441,10 +447,17 @@ def override_child(t):
     return r.load(CustomerOrders).filter(col("c_custkey").lt(100)).frame().select(F.col("id").alias("customer"), F.explode("orders").alias("o")).select("customer", "o.id")
 
 
+@query("SELECT o_custkey AS customer, o_orderkey AS id FROM orders WHERE o_totalprice > 1000")
+def override_child_all(t):
+    """override_child without its cut of ids: the override's rows of every customer."""
+    r = Registry.builder().register(CustomerOrders).overrides("Customer", f'[query.orders]\nsql = "{_OVERRIDE.format("o_totalprice > 1000")}"').build(t)
+    return r.load(CustomerOrders).frame().select(F.col("id").alias("customer"), F.explode("orders").alias("o")).select("customer", "o.id")
+
+
 @query("SELECT 1::BIGINT AS runs, 1::BIGINT AS mismatches")
 def shadow_mismatch(t):
     r = Registry.builder().register(CustomerOrders).overrides("Customer", f'[query.orders]\nshadow = true\nsql = "{_OVERRIDE.format("o_orderstatus <> chr(80)")}"').build(t)
-    r.load(CustomerOrders).filter(col("c_custkey").lt(100)).frame()
+    r.load(CustomerOrders).frame()
     s = r.shadow_stats(CustomerOrders, "orders")
     return t.spark.createDataFrame([(s.runs, s.mismatches)], "runs long, mismatches long")
 
