@@ -349,6 +349,13 @@ def tree_depth(t):
     return r.select("id", F.col("b.id").alias("child"), F.explode_outer("b.children").alias("c")).select("id", "child", F.col("c.id").alias("grandchild"))
 
 
+@query(f"{_TREE} SELECT a.id, b.id AS child, c.id AS grandchild FROM t a JOIN t b ON b.parent_id = a.id LEFT JOIN t c ON c.parent_id = b.id")
+def tree_depth_all(t):
+    """tree_depth without its cut of ids: every part is a root."""
+    r = load(tree(2), t).frame().select("id", F.explode("children").alias("b"))
+    return r.select("id", F.col("b.id").alias("child"), F.explode_outer("b.children").alias("c")).select("id", "child", F.col("c.id").alias("grandchild"))
+
+
 @query(f"{_TREE}, r AS (SELECT id, parent_id, name FROM t WHERE parent_id = 1 UNION SELECT t.id, t.parent_id, t.name FROM t JOIN r ON t.parent_id = r.id) SELECT parent_id AS \"$parent\", id, name FROM r")
 def tree_closure(t):
     return load(tree(None), t).by_key(1).levels("children")
@@ -366,6 +373,13 @@ def mutual_recursion(t):
     return r.select("id", F.col("b.id").alias("odd"), F.explode("b.evens").alias("c")).select("id", "odd", F.col("c.id").alias("even"))
 
 
+@query(f"{_TREE} SELECT a.id, b.id AS odd, c.id AS even FROM t a JOIN t b ON b.parent_id = a.id JOIN t c ON c.parent_id = b.id")
+def mutual_recursion_all(t):
+    """mutual_recursion without its cut of ids: every part is a root."""
+    r = load(Even, t).frame().select("id", F.explode("odds").alias("b"))
+    return r.select("id", F.col("b.id").alias("odd"), F.explode("b.evens").alias("c")).select("id", "odd", F.col("c.id").alias("even"))
+
+
 @query("SELECT unnest([1, 2, 3])::INTEGER AS k")
 def cycle_detected(t):
     return cycle_members(t.table("ring"), "id", "next_id")

@@ -18,3 +18,10 @@ def test_overrides_of_all_customers(spark, tmp_path):
     assert (got.runs, got.mismatches) == (1, 1)
     wanted = spark.read.parquet(str(tmp_path / "orders.parquet")).where("o_totalprice > 1000")
     assert QUERIES["override_child_all"](spark, str(tmp_path)).agg(F.count("*"), F.max("customer")).first() == wanted.agg(F.count("*"), F.max("o_custkey")).first()
+
+
+def test_recursion_from_all_parts(spark):
+    parts = spark.read.parquet(f"{FOLDER}/part.parquet").count()
+    tree, mutual = QUERIES["tree_depth_all"](spark, FOLDER), QUERIES["mutual_recursion_all"](spark, FOLDER)
+    assert tree.select("child").distinct().count() == parts - 1
+    assert mutual.agg(F.max("id")).first()[0] == (parts - 1) // 16 and mutual.count() == parts - 4
