@@ -100,6 +100,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
         event_rows=lambda: read("events").selectExpr("event_id", "event_type", "CASE WHEN event_type = 'purchase' OR event_id % 50 = 0 THEN value END AS amount"),
         orders_f=lambda: read("orders").where("o_orderstatus = 'F'"),
         orders_o=lambda: read("orders").where("o_orderstatus = 'O'"),
+        part_ring=lambda: read("part").crossJoin(read("part").agg(F.max("p_partkey").alias("last"))).selectExpr("p_partkey AS id", "CASE WHEN p_partkey = 0 THEN last ELSE p_partkey div 4 END AS next_id"),
         ring=lambda: spark.sql("SELECT * FROM VALUES (1, 2), (2, 3), (3, 1), (4, 1), (5, 4) AS ring(id, next_id)"),
     )
 
@@ -385,14 +386,19 @@ def cycle_detected(t):
     return cycle_members(t.table("ring"), "id", "next_id")
 
 
+@query("WITH RECURSIVE c AS (SELECT max(p_partkey) AS k FROM part UNION SELECT k // 4 FROM c WHERE k > 0) SELECT k FROM c")
+def cycle_in_tree(t):
+    """The tree of all parts, of which the first has the last as its parent: one cycle, many branches."""
+    return cycle_members(t.table("part_ring"), "id", "next_id")
+
+
 # Graphs -------------------------------------------------------------------------------------------------------------
 
 _GRAPH = "WITH o AS (SELECT o_orderkey AS id, o_custkey FROM orders WHERE o_custkey IN (1, 2)), p AS (SELECT DISTINCT l_partkey AS id FROM lineitem JOIN o ON l_orderkey = o.id), c AS (SELECT c_custkey AS id, c_nationkey AS nation FROM customer WHERE c_custkey IN (1, 2))"
 
 
-@query(f"{_GRAPH} SELECT 'Customer' AS view, id FROM c UNION ALL SELECT 'Order', id FROM o UNION ALL SELECT 'Part', id FROM p UNION ALL SELECT DISTINCT 'Nation', nation FROM c")
-def graph_component(t):
-    _, seen, _, _ = reach(load(GraphCustomer, t).by_keys([1, 2]))
+def _vertices(roots: Load) -> DataFrame:
+    _, seen, _, _ = reach(roots)
     parts = [keys.select(F.lit(name).alias("view"), F.col("key").cast("long").alias("id")) for name, keys in sorted(seen.items())]
     out = parts[0]
     for p in parts[1:]:
@@ -400,9 +406,8 @@ def graph_component(t):
     return out
 
 
-@query(f"{_GRAPH} SELECT 'Customer.orders' AS edge, o_custkey AS a, id AS b FROM o UNION ALL SELECT 'Order.customer', id, o_custkey FROM o UNION ALL SELECT 'Order.parts', l_orderkey, l_partkey FROM lineitem JOIN o ON l_orderkey = o.id UNION ALL SELECT 'Customer.nation', id, nation FROM c")
-def graph_edges(t):
-    _, _, found, _ = reach(load(GraphCustomer, t).by_keys([1, 2]))
+def _edges(roots: Load) -> DataFrame:
+    _, _, found, _ = reach(roots)
     out = None
     for (name, f), e in sorted(found.items()):
         part = e.select(F.lit(f"{name}.{f}").alias("edge"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
@@ -410,6 +415,28 @@ def graph_edges(t):
     return out
 
 
+@query(f"{_GRAPH} SELECT 'Customer' AS view, id FROM c UNION ALL SELECT 'Order', id FROM o UNION ALL SELECT 'Part', id FROM p UNION ALL SELECT DISTINCT 'Nation', nation FROM c")
+def graph_component(t):
+    return _vertices(load(GraphCustomer, t).by_keys([1, 2]))
+
+
+@query(f"{_GRAPH} SELECT 'Customer.orders' AS edge, o_custkey AS a, id AS b FROM o UNION ALL SELECT 'Order.customer', id, o_custkey FROM o UNION ALL SELECT 'Order.parts', l_orderkey, l_partkey FROM lineitem JOIN o ON l_orderkey = o.id UNION ALL SELECT 'Customer.nation', id, nation FROM c")
+def graph_edges(t):
+    return _edges(load(GraphCustomer, t).by_keys([1, 2]))
+
+
+@query("SELECT 'Customer' AS view, c_custkey AS id FROM customer UNION ALL SELECT 'Order', o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey UNION ALL SELECT DISTINCT 'Part', l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey UNION ALL SELECT DISTINCT 'Nation', c_nationkey FROM customer")
+def graph_component_all(t):
+    """graph_component from all customers."""
+    return _vertices(load(GraphCustomer, t))
+
+
+@query("WITH o AS (SELECT o_orderkey AS id, o_custkey FROM orders JOIN customer ON c_custkey = o_custkey) SELECT 'Customer.orders' AS edge, o_custkey AS a, id AS b FROM o UNION ALL SELECT 'Order.customer', id, o_custkey FROM o UNION ALL SELECT 'Order.parts', l_orderkey, l_partkey FROM lineitem JOIN o ON l_orderkey = o.id UNION ALL SELECT 'Customer.nation', c_custkey, c_nationkey FROM customer")
+def graph_edges_all(t):
+    """graph_edges from all customers."""
+    return _edges(load(GraphCustomer, t))
+
+
 # JSON, selections, GraphQL ------------------------------------------------------------------------------------------
 
 
