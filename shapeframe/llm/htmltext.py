@@ -14,8 +14,10 @@ Text: character references are decoded, white space in a block becomes one space
 white space, blocks are joined by an empty line. Scripts, styles, templates and the head's title are never text.
 
 Edge cases: null and empty pages, and pages without main text, give the empty string; unclosed and misnested tags are
-closed by what follows; an unclosed comment or script runs to the end; pages of any length are read whole; repeated
-rows are treated alike; other columns are ignored.
+closed by what follows; an unclosed comment, script, style, title, textarea or iframe runs to the end; the content of
+noscript, template, select, svg, object and canvas elements is no text, but one that is self-closed (svg) or has no end
+tag in its block takes nothing away; pages of any length are read whole; repeated rows are treated alike; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,9 +36,16 @@ from pyspark.sql import functions as F
 
 from .common import over_batches
 
-#: Elements whose content is not text.
-_RAW = "script|style|noscript|template|title|textarea|select|svg|iframe|object|canvas"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+#: Elements whose content is not markup: without an end tag they run to the end of the page, as in browsers.
+_RAW = "script|style|title|textarea|iframe"
+_ATTRIBUTES = "(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+_TAG = rf"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})>"
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<({_RAW})(?=[\s/>])({_ATTRIBUTES})>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|{_TAG}|<[!?/][^>]*>", re.S | re.I)
+#: One tag, in the groups of _TOKEN.
+_ONE = re.compile(rf"(?!)()()|{_TAG}")
+#: Elements whose content is markup and is not text. Without an end tag they hold nothing.
+_IGNORED = frozenset("noscript template select svg object canvas".split())
+_ANY_IGNORED = re.compile(rf"<(?:{'|'.join(sorted(_IGNORED))})(?=[\s/>])", re.I)
 #: Elements that bound blocks.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul head".split())
 _VOID = frozenset(("hr", "br", "img", "input", "meta", "link"))
@@ -67,6 +77,39 @@ def _words_of(attributes: str) -> frozenset[str]:
     return frozenset(out)
 
 
+def _ignored(page: str) -> tuple[list[re.Match[str]], dict[int, int]]:
+    """The page's tokens, and where each ignored element that has an end tag starts and ends.
+
+    An element ends with the block around it; then, as at the end of the page, its start tag alone is passed over.
+    """
+    tokens: list[re.Match[str]] = []
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    inside: Counter[str] = Counter()
+    scan = _TOKEN.finditer(page)
+    while m := next(scan, None):
+        if m[1] and inside["svg"] and m[2].endswith("/"):  # in a drawing a tag like <title/> has no content
+            m = _ONE.match(page, m.start())
+            scan = _TOKEN.finditer(page, m.end())
+        tokens.append(m)
+        tag = (m[4] or "").lower()
+        if (tag not in _IGNORED and tag not in BLOCKS) or m[5][:1] not in " \t\n\r\f/":
+            continue
+        if not m[3]:
+            if tag not in _VOID and not (m[5].endswith("/") and (tag == "svg" or tag in BLOCKS)):
+                stack.append((tag, m.start()))
+                inside[tag] += 1
+        elif inside[tag]:
+            while True:
+                name, start = stack.pop()
+                inside[name] -= 1
+                if name == tag:
+                    break
+            if tag in _IGNORED:
+                ends[start] = m.end()
+    return tokens, ends
+
+
 def blocks(page: str) -> list[Block]:
     """(open block elements, text, characters inside links) of each leaf block that has text."""
     out: list[Block] = []
@@ -83,24 +126,27 @@ def blocks(page: str) -> list[Block]:
                 out.append((path, joined, linked))
             text, linked = [], 0
 
-    for m in _TOKEN.finditer(page):
+    tokens, ends = _ignored(page) if _ANY_IGNORED.search(page) else (_TOKEN.finditer(page), {})
+    for m in tokens:
+        if m.start() < at:
+            continue
         if m.start() > at:
             piece = page[at : m.start()]
             text.append(piece)
             linked += len(piece) if links else 0
-        at = m.end()
-        tag = m[3]
+        at = ends.get(m.start(), m.end())
+        tag = m[4]
         if not tag:
             continue
         tag = tag.lower()
         if tag == "br":
             text.append("\n")
         elif tag == "a":
-            links = 0 if m[2] else 1
+            links = 0 if m[3] else 1
         elif tag in BLOCKS:
             flush()
             links = 0
-            if m[2]:
+            if m[3]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         del stack[i:]
@@ -113,7 +159,7 @@ def blocks(page: str) -> list[Block]:
                     if i < len(stack) and stack[i][0] in inside:
                         break
                 if tag not in _VOID and not m[0].endswith("/>"):
-                    stack.append((tag, _words_of(m[4]) if "=" in m[4] else frozenset()))
+                    stack.append((tag, _words_of(m[5]) if "=" in m[5] else frozenset()))
             path = tuple(stack)
     if at < len(page):
         text.append(page[at:])

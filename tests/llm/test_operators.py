@@ -335,6 +335,16 @@ def test_pages(spark):
     assert htmltext.extract(pages.where("false")).count() == 0
 
 
+def test_pages_are_read_to_their_end():
+    texts = lambda page: [b[1] for b in htmltext.blocks(page)]
+    for tag in ("<svg/>", "<svg width='1' />", "<object data='x'>", "<canvas>", "<noscript>", "<select>", "<template>", "<!-->", "<!--->", "<!-- > --!>", "<title-bar>", "<object-view>", "<script-x>", "<svg><title/></svg>", "<svg><svg/><svg>no</svg>no</svg>", "<OBJECT><object>no</object>no</OBJECT>", "<canvas><p>no</p>no</canvas >", "<select><option>no<option>no</select>", "<script>no</script x>"):
+        assert texts(f"<p>One {tag} two.</p><p>Three.</p>") == ["One two.", "Three."], tag
+    assert texts("<div><canvas>a</div><p>Three.</p><canvas>no</canvas>") == ["a", "Three."]
+    assert texts("<p>One <svg><script href='x'/><g>no</g></svg>two.") == ["One two."]
+    for tag in ("script", "style", "title", "textarea", "iframe"):
+        assert texts(f"<p>One <{tag}> two.</p><p>Three.</p>") == ["One"]
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 
