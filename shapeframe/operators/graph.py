@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import QueryError, UnloadedReference
 from ..lineage import cut
 from ..plans.plan import Query
 from ..plans.sqltext import quote
-from ..shapes import Child, Column, Embed, Embedded, ToOne, View
+from ..shapes import Child, Column, Embed, Embedded, Field, Sum, ToOne, View, relations
 from .decode import Decoder, Record, scalar, to_json
 from .flat import column, ordered
 from .nest import VALUE, nest
@@ -78,7 +80,7 @@ class Graph:
 
 
 def edges_of(view: View) -> dict[str, ToOne | Child]:
-    """Graph references of an entity: its own fields' (values it owns may hold more, which load with them)."""
+    """Graph references of an entity: its own fields' (values it owns may hold more: see inner_keys)."""
     return {f: x for f, x in view.fields.items() if isinstance(x, (ToOne, Child)) and x.graph}
 
 
@@ -105,6 +107,9 @@ def reach(load: Any) -> tuple[DataFrame, dict[str, DataFrame], dict[tuple[str, s
                 e = cut(edge_rows(tables, views[name], x, keys))
                 found[(name, f)] = e if (name, f) not in found else found[(name, f)].unionByName(e)
                 following.setdefault(target.name, []).append(e.select(F.col("b").alias("key")))
+            for target, inner in inner_keys(load, views[name], keys):
+                views[target.name] = target
+                following.setdefault(target.name, []).append(cut(inner))
         frontier = {}
         for name, parts in following.items():
             union = parts[0]
@@ -114,6 +119,51 @@ def reach(load: Any) -> tuple[DataFrame, dict[str, DataFrame], dict[tuple[str, s
     return roots, seen, found, views
 
 
+def entities(load: Any, view: View, keys: DataFrame) -> tuple[Query, DataFrame, Any]:
+    """The nested rows of the entities with the keys; values that they own hold the keys of what they reference."""
+    one = type(load)(view, load.tables, load.overrides).by_keys(keys)
+    one.dangling_ = load.dangling_
+    q: Query = one.plan()
+    ctx = one.context("raise")
+    ctx.edges = lambda owned, x, k: edge_rows(load.tables, owned.view, x, k)
+    return q, nest(q, one.root(q), ctx, True), ctx
+
+
+def inner_keys(load: Any, view: View, keys: DataFrame) -> list[tuple[View, DataFrame]]:
+    """(view, keys) of what the values owned by the entities with the keys reference."""
+    if not any(x.graph for q in type(load)(view, load.tables).plan().walk()[1:] for x in relations(q.fields)):
+        return []
+    q, rows, ctx = entities(load, view, keys)
+    out: list[tuple[View, DataFrame]] = []
+
+    def walk(owner: View, fields: dict[str, Field], values: DataFrame, root: bool) -> None:
+        kind = values.schema["v"].dataType
+        if not isinstance(kind, T.StructType):
+            return
+        for f, x in fields.items():
+            if f not in kind.names:
+                continue
+            at = F.col(f"v.{quote(f)}")
+            if isinstance(x, Embed) and isinstance(x.shape, Sum):
+                for v in x.shape.variants:
+                    if v.name in kind[f].dataType.names:
+                        walk(owner, v.fields, values.select(F.col(f"v.{quote(f)}.{quote(v.name)}").alias("v")), False)
+            elif isinstance(x, (ToOne, Child)) and not (x.graph and root):
+                many = isinstance(x, Child)
+                got = values.select((F.explode(F.map_values(at) if x.key else at) if many else at).alias("v")).where("v IS NOT NULL")
+                target = owner.target(x)
+                if x.graph:
+                    out.append((target, got.select(F.col("v").alias("key"))))
+                else:
+                    walk(target, target.fields, got, False)
+
+    walk(view, view.fields, rows.select(F.col(f"`{VALUE}`").alias("v")), True)
+    for name, level in ctx.closures.items():
+        inner = q.find(name).view
+        walk(inner, inner.fields, level.select(F.col(f"`{VALUE}`").alias("v")), False)
+    return out
+
+
 def edge_rows(tables: Any, view: View, x: ToOne | Child, keys: DataFrame) -> DataFrame:
     """(a, b, place): from the entities with the keys to those they reference; place orders a collection."""
     k = keys.select(F.col("key").alias("_key"))
@@ -144,15 +194,10 @@ def load_graph(load: Any) -> Graph:
     graph = Graph(load.view, views)
     for name, keys in seen.items():
         view = views[name]
-        one = type(load)(view, load.tables, load.overrides).by_keys(keys)
-        one.dangling_ = load.dangling_
-        q: Query = one.plan()
-        ctx = one.context("raise")
-        rows = nest(q, one.root(q), ctx, True)
+        q, rows, ctx = entities(load, view, keys)
         got = load._run(rows.collect)
-        decoder = Decoder({n: load._run(df.collect) for n, df in ctx.closures.items()})
+        decoder = Decoder({n: load._run(df.collect) for n, df in ctx.closures.items()}, Ref)
         graph.entities[name] = {r[q.key_alias]: decoder.value(q, r[VALUE], r) for r in got}
-        _inner_refs(view, graph.entities[name].values())
         for f, x in edges_of(view).items():
             for e in graph.entities[name].values():
                 e[f] = None if isinstance(x, ToOne) else []
@@ -167,6 +212,11 @@ def load_graph(load: Any) -> Graph:
                 graph.entities[name][a][f] = Ref(target.name, b)
             else:
                 graph.entities[name][a][f].append(Ref(target.name, b))
+    for name, values in graph.entities.items():
+        edges = edges_of(views[name])
+        for ref in (r for e in values.values() for f, v in e.items() if f not in edges for r in _refs(v)):
+            if ref.key not in graph.entities.get(ref.view, {}):
+                raise UnloadedReference(ref.view, "", "a reference points to an entity that was not loaded")
     graph.root_refs = [Ref(load.view.name, r.key) for r in load._run(roots.collect)]
     for r in graph.root_refs:
         if r.key not in graph.entities.get(load.view.name, {}):
@@ -174,9 +224,13 @@ def load_graph(load: Any) -> Graph:
     return graph
 
 
-def _inner_refs(view: View, values: Any) -> None:
-    """Graph references that owned values hold are kept as their keys only."""
-    return None
+def _refs(value: Any) -> Iterator[Ref]:
+    """The references in a field of owned values."""
+    if isinstance(value, Ref):
+        yield value
+    elif isinstance(value, (dict, list)):
+        for v in value.values() if isinstance(value, dict) else value:
+            yield from _refs(v)
 
 
 def graph_json(graph: Graph) -> list[Any]:
@@ -189,15 +243,13 @@ def graph_json(graph: Graph) -> list[Any]:
             return {"$ref": name}
         written.add(ref)
         view, value = graph.views[ref.view], graph.get(ref)
-        own = {f: x for f, x in view.fields.items() if f not in edges_of(view)}
         out = {"$id": name}
-        plain = to_json(value, own, view.name)
         for f, x in view.fields.items():
             if f in edges_of(view):
                 got = value.get(f)
                 out[f] = None if got is None else entity(got) if isinstance(got, Ref) else [entity(r) for r in got]
-            elif f in plain:
-                out[f] = plain[f]
+            else:
+                out |= to_json({f: value[f]} if f in value else {}, view.fields, view.name, None, entity)
         return out
 
     return [entity(r) for r in graph.root_refs]

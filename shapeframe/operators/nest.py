@@ -39,6 +39,7 @@ class Context:
     violations: list[DataFrame] = field(default_factory=list)
     closures: dict[str, DataFrame] = field(default_factory=dict)
     flats: dict[str, DataFrame] = field(default_factory=dict)
+    edges: Callable[[Query, Child, DataFrame], DataFrame] | None = None  # of a graph load: (a, b, place) of a graph collection of owned values
 
 
 Rule = tuple[str, str, Column, Column]  # code, path, condition, detail
@@ -86,6 +87,8 @@ def nest(q: Query, rows: DataFrame, ctx: Context, restricted: bool, left: dict[i
             rows = _reference(q, rows, path, target, at, ctx, restricted, budget, parts, rules)
         else:
             rows = _variant(q, rows, path, target, ctx, restricted, budget, parts, rules)
+    if ctx.edges and q.link.kind != "root":
+        rows = _graph_keys(q, rows, ctx, parts)
     value = _struct(q, q.fields, "", parts, rules, rows)
     if rules and ctx.validate == "collect":
         for code, path, bad, detail in rules:
@@ -108,6 +111,22 @@ def _keys(rows: DataFrame, name: str, restricted: bool, only: Column | None = No
     return rows.select(column(name).alias("key")).where("key IS NOT NULL").distinct()
 
 
+def _graph_keys(q: Query, rows: DataFrame, ctx: Context, parts: dict[str, Column]) -> DataFrame:
+    """The keys of the entities that owned values reference."""
+    for f, x in q.fields.items():
+        if not isinstance(x, (Child, ToOne)) or not x.graph or f in q.children:
+            continue
+        if isinstance(x, ToOne):
+            parts[f] = column(f"$ref.{f}")
+            continue
+        e = ctx.edges(q, x, rows.select(column(q.key_alias).alias("key")).distinct())
+        owner, name = f"$owner_of.{f}", f"$keys.{f}"
+        lists = e.groupBy(F.col("a").alias(owner)).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "b"))), lambda s: s["b"]).alias(name))
+        rows = rows.join(lists, column(q.key_alias) == column(owner), "left").drop(owner)
+        parts[f] = F.coalesce(column(name), F.array().cast(lists.schema[name].dataType))
+    return rows
+
+
 def _collection(q, rows, path, target, at, ctx, restricted, budget, parts, rules) -> DataFrame:
     keys = _keys(rows, q.key_alias, restricted or target.closure)
     if target.closure:

@@ -162,6 +162,7 @@ class Write:
         self.next_key: dict[str, int] = {}
         self.nulls: dict[str, list[tuple[str, str, list[Any], list[Any]]]] = {}
         self.gone: dict[tuple[str, str], tuple[View, list[Any], list[Any]]] = {}
+        self.graph_keys: dict[Any, Any] | None = None  # of a graph that is saved, by reference
 
     def table(self, name: str) -> DataFrame:
         return self.before.table(name)
@@ -212,6 +213,9 @@ class Write:
             elif isinstance(x, Embed):
                 self._union(view, f, x, prefix + x.prefix, value.get(f), row, key)
             elif isinstance(x, ToOne):
+                if x.graph and self.graph_keys is not None and value.get(f) is not None:
+                    row[x.fk] = self.graph_keys[value[f]]
+                    continue
                 if x.graph and value.get(f) is not None and not isinstance(value.get(f), (int, str)):
                     raise WriteError(view.name, f, "a value with references into a graph is saved with its graph")
                 if f in value:
@@ -254,6 +258,15 @@ class Write:
         if f not in value:
             return
         target, got = view.target(x), value[f]
+        if x.graph and self.graph_keys is not None:
+            keys = [self.graph_keys[r] for r in got]
+            if x.through:
+                self._links(view, f, x, key, keys)
+                return
+            for place, k in enumerate(keys):
+                self.put(target.table, target.key, {target.key: k, x.fk: key} | ({x.index: place} if x.index else {}))
+            self.nulls.setdefault(target.table, []).append((x.fk, target.key, [key], keys))
+            return
         if x.graph:
             raise WriteError(view.name, f, "a value with references into a graph is saved with its graph")
         items = list(got.items()) if x.key else list(enumerate(got))

@@ -249,6 +249,34 @@ def test_graph(org):
     assert Load(Employee, org).by_key(1).select("name manager { name }").json() == [{"name": "a", "manager": {"name": "b"}}]
 
 
+Reply = View("Reply", "remark", {"id": Column(BIGINT), "author": ToOne(lambda: Writer, "author_id", graph=True)})
+Remark = View("Remark", "remark", {"id": Column(BIGINT), "body": Column(STRING), "author": ToOne(lambda: Writer, "author_id", optional=True, graph=True), "readers": Child(lambda: Writer, "remark_id", through="reading", target="writer_id", order_by="name desc", graph=True), "replies": Child(Reply, "parent_id")})
+Writer = View("Writer", "writer", {"id": Column(BIGINT), "name": Column(STRING), "remarks": Child(Remark, "writer_id")})
+
+
+def test_graph_references_of_owned_values(spark, tmp_path):
+    make = spark.createDataFrame
+    made = {
+        "writer": make([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "e")], "id long, name string"),
+        "remark": make([(10, "x", 2, 1, None), (11, "y", None, 1, None), (12, "z", 4, None, 10), (13, "v", 1, 2, None)], "id long, body string, author_id long, writer_id long, parent_id long"),
+        "reading": make([(10, 3), (10, 2), (13, 3)], "remark_id long, writer_id long"),
+    }
+    g = Load(Writer, Tables(spark, made)).by_key(1).graph()
+    assert sorted(g.entities["Writer"]) == [1, 2, 3, 4] and list(g.entities) == ["Writer"]
+    x, y = g.roots()[0].remarks
+    assert g.get(x.author).name == "b" and [g.get(r).name for r in x.readers] == ["c", "b"]
+    assert g.get(x.replies[0].author).name == "d" and y.author is None and y.readers == []
+    assert g.get(x.author).remarks[0].author == Ref("Writer", 1)
+    j = Load(Writer, Tables(spark, made)).by_key(1).graph_json()[0]["remarks"][0]
+    assert j["author"]["$id"] == "Writer:2" and j["author"]["remarks"][0]["author"] == {"$ref": "Writer:1"} and j["readers"][1] == {"$ref": "Writer:2"}
+    s = Store(spark, str(tmp_path / "store"))
+    s.create(**made)
+    y.author, x.readers = g.insert(Writer, {"id": 6, "name": "f", "remarks": []}), [Ref("Writer", 4)]
+    s.save_graph(g)
+    assert {r.id: r.author_id for r in s.latest().table("remark").collect()} == {10: 2, 11: 6, 12: 4, 13: 1}
+    assert sorted(map(tuple, s.latest().table("reading").collect())) == [(10, 4), (13, 3)]
+
+
 OVER = "SELECT task_id AS `$parent`, id, body FROM note WHERE task_id IN (:keys) AND body <> 'y'"
 Plain = View("Task", "task", {"id": Column(BIGINT), "name": Column(STRING), "notes": Child(Note, "task_id")})
 
