@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterable
 from typing import Any
 
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -443,7 +444,8 @@ def _owns(view: View) -> bool:
 def save_frame(store: Store, view: View, nested: DataFrame) -> int:
     """The set-based form for values that are rows: nested, as ``Load.frame`` gives them, of a view with keys and without unions.
 
-    Every level is exploded to rows of its table on the executors; nothing passes through the driver.
+    Every level is exploded to rows of its table on the executors; nothing passes through the driver. Embedded values and
+    maps are written too; unions, graph references and fields of all levels raise WriteError, and nothing is written.
     """
     base = store.version()
     tables, out = store.at_version(base), {}
@@ -452,17 +454,21 @@ def save_frame(store: Store, view: View, nested: DataFrame) -> int:
 
 
 def _save_level(view: View, rows: DataFrame, extra: dict[str, str], tables: Tables, out: dict[str, DataFrame]) -> None:
-    columns = [F.col(quote(f)).alias(x.column or f) for f, x in view.fields.items() if isinstance(x, Column) and not x.computed and f in rows.columns]
+    columns = _flat_columns(view, view.fields, rows.schema, "", "")
     columns += [F.col(f"{quote(f)}.{quote(view.target(x).key_field)}").alias(x.fk) for f, x in view.fields.items() if isinstance(x, ToOne) and f in rows.columns]
-    columns += [F.col(quote(c)).alias(name) for name, c in extra.items()]
-    old = out.get(view.table, tables.table(view.table))
-    out[view.table] = merge(old, rows.select(*columns), [view.key])
+    own = rows.select(*columns).columns  # a field of such a column goes first, as in Write
+    columns += [F.col(quote(c)).alias(name) for name, c in extra.items() if name not in own]
+    old, new = out.get(view.table, tables.table(view.table)), rows.select(*columns)
+    if missing := [c for c in new.columns if c not in old.columns]:
+        raise WriteError(view.name, view.table, f"the table has no column {missing[0]}")
+    out[view.table] = merge(old, new, [view.key])
     key = view.key_field
     for f, x in view.fields.items():
-        if not isinstance(x, Child) or f not in rows.columns or x.key:
+        if not isinstance(x, Child) or f not in rows.columns:
             continue
         target = view.target(x)
-        e = rows.select(F.col(quote(key)).alias("$fk"), F.posexplode(F.col(quote(f))).alias("$at", "$e"))
+        each = F.explode(F.col(quote(f))) if x.key else F.posexplode(F.col(quote(f)))
+        e = rows.select(F.col(quote(key)).alias("$fk"), each.alias("$at", "$e"))
         parents = rows.select(F.col(quote(key)).alias("_p"))
         if x.through:
             links = out.get(x.through, tables.table(x.through))
@@ -471,11 +477,31 @@ def _save_level(view: View, rows: DataFrame, extra: dict[str, str], tables: Tabl
             out[x.through] = kept.unionByName(new.select(*[F.col(quote(s.name)).cast(s.dataType).alias(s.name) for s in links.schema if s.name in new.columns]), allowMissingColumns=True)
             continue
         child = out.get(target.table, tables.table(target.table))
-        keys = e.select(F.col(f"`$e`.{quote(target.key_field)}").alias("_k"))
+        same = [g for g, y in view.fields.items() if isinstance(y, Child) and not y.through and g in rows.columns and (view.target(y).table, y.fk) == (target.table, x.fk)]
+        lists = [F.map_values(quote(g)) if view.fields[g].key else F.col(quote(g)) for g in same]  # what one collection of the rows holds, another doesn't remove
+        keys = rows.select(F.explode(F.concat(*[F.coalesce(F.transform(v, lambda y: y[target.key_field]), F.array()) for v in lists])).alias("_k"))
         gone = child.join(parents, child[quote(x.fk)] == F.col("_p"), "left_semi").join(keys, F.col(quote(target.key)) == F.col("_k"), "left_anti").select(F.col(quote(target.key)).alias("_g"))
         out[target.table] = child.join(gone, child[quote(target.key)] == F.col("_g"), "left_anti")
         inner = e.select("`$e`.*", "`$fk`", "`$at`")
-        _save_level(target, inner, {x.fk: "$fk"} | ({x.index: "$at"} if x.index else {}), tables, out)
+        _save_level(target, inner, {x.fk: "$fk"} | ({x.index: "$at"} if x.index else {}) | ({x.key: "$at"} if x.key else {}), tables, out)
+
+
+def _flat_columns(view: View, fields: dict[str, Field], schema: T.StructType, at: str, prefix: str) -> list[SparkColumn]:
+    """The columns of a level's fields; embedded values are flattened with their prefix."""
+    out = []
+    for f, x in fields.items():
+        if f not in schema.names:
+            continue
+        if isinstance(x, (ToOne, Child)) and (x.graph or x.recursive):
+            raise WriteError(view.name, f, "save_frame writes no graph references and no fields of all levels")
+        path = f"{at}{quote(f)}"
+        if isinstance(x, Column) and not x.computed:
+            out.append(F.col(path).alias(prefix + (x.column or f)))
+        elif isinstance(x, Embed) and isinstance(x.shape, Embedded):
+            out += _flat_columns(view, x.shape.fields, schema[f].dataType, f"{path}.", prefix + x.prefix)
+        elif isinstance(x, Embed):
+            raise WriteError(view.name, f, "save_frame writes no unions")
+    return out
 
 
 def with_row_keys(df: DataFrame, key: str, start: int) -> DataFrame:

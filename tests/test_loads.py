@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shapeframe import manifest as manifests
 from shapeframe.cli import main
@@ -38,10 +39,10 @@ from shapeframe.operators.graph import Graph, Ref
 from shapeframe.operators.load import Load
 from shapeframe.plans.sqltext import render
 from shapeframe.registry import Registry, scaffold
-from shapeframe.shapes import BIGINT, FLOAT, INT, JSON, STRING, Child, Column, Embed, Sum, ToOne, Variant, View, optional
+from shapeframe.shapes import BIGINT, FLOAT, INT, JSON, STRING, Child, Column, Embed, Embedded, Sum, ToOne, Variant, View, optional
 from shapeframe.sources import Tables
 from shapeframe.sources.schema import Snapshot, snapshot
-from shapeframe.sources.store import Store
+from shapeframe.sources.store import Store, save_frame
 
 Person = View("Person", "person", {"id": Column(BIGINT), "name": Column(STRING)})
 Note = View("Note", "note", {"id": Column(BIGINT), "body": Column(STRING)})
@@ -478,3 +479,44 @@ def test_save_graph(spark, tmp_path):
     s.save_graph_changes(g)
     rows = {r.id: r.name for r in s.latest().table("employee").collect()}
     assert rows[1] == "z" and rows[2] == "b"
+
+
+def test_save_frame_of_embedded_values_and_maps(spark, tmp_path):
+    size = Embedded("Size", {"wide": Column(BIGINT), "unit": Embed(Embedded("Unit", {"name": Column(STRING, "unit")}), "u_")})
+    part = View("Part", "part", {"id": Column(BIGINT), "name": Column(STRING), "size": Embed(size, "s_")})
+    box = View("Box", "box", {"id": Column(BIGINT), "size": Embed(size), "parts": Child(part, "box_id", key="slot"), "list": Child(part, "box_id")})
+    s = Store(spark, str(tmp_path / "store"))
+    s.create(
+        box=spark.createDataFrame([(1, 5, "cm"), (2, 6, "cm")], "id long, wide long, u_unit string"),
+        part=spark.createDataFrame([(10, "a", 1, "mm", 1, "x"), (11, "b", 2, "mm", 1, "y"), (12, "c", 3, "mm", 2, "x")], "id long, name string, s_wide long, s_u_unit string, box_id long, slot string"),
+    )
+    f = Load(View("Box", "box", {k: v for k, v in box.fields.items() if k != "list"}), s.latest()).frame()
+    grown = F.transform_values(F.map_filter("parts", lambda k, v: v["id"] != 10), lambda k, v: v.withField("size", v["size"].withField("wide", v["size"]["wide"] + 10)))
+    added = F.create_map(F.lit("z"), F.get("list", F.lit(0)))
+    other = f.where("id = 2").select(F.array(F.struct(F.lit(13).cast("long").alias("id"), F.lit("n").alias("name"), "size")).alias("list"))
+    f = f.crossJoin(other).select("id", F.col("size").withField("wide", F.lit(7)).withField("unit", F.struct(F.lit("m").alias("name"))).alias("size"), F.when(F.col("id") == 2, F.map_concat(grown, added)).otherwise(grown).alias("parts"))
+    save_frame(s, box, f)
+    assert sorted(map(tuple, s.latest().table("box").collect())) == [(1, 7, "m"), (2, 7, "m")]
+    rows = sorted(map(tuple, s.latest().table("part").collect()))
+    assert rows == [(11, "b", 12, "mm", 1, "y"), (12, "c", 13, "mm", 2, "x"), (13, "n", 6, "cm", 2, "z")]
+
+
+def test_save_frame_keeps_what_another_collection_holds(spark, tmp_path):
+    v = View("Box", "box", {"id": Column(BIGINT), "all": Child(Note, "task_id"), "named": Child(Note, "task_id", key="body")})
+    s = Store(spark, str(tmp_path / "store"))
+    s.create(box=spark.createDataFrame([(1,)], "id long"), note=spark.createDataFrame([(10, 1, "x"), (11, 1, "y"), (12, 1, "z")], "id long, task_id long, body string"))
+    f = Load(v, s.latest()).frame().withColumn("named", F.map_filter("named", lambda k, n: k == "x")).withColumn("all", F.filter("all", lambda n: n["id"] != 12))
+    save_frame(s, v, f)
+    assert sorted(r.id for r in s.latest().table("note").collect()) == [10, 11]
+
+
+def test_save_frame_refuses_what_it_does_not_write(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    s.create(issue=spark.createDataFrame([(1, "a")], "id long, tag string"))
+    v = View("Issue", "issue", {"id": Column(BIGINT), "state": Embed(Sum("State", "tag", (Variant("A", tag_value="a"),)))})
+    with pytest.raises(WriteError):
+        save_frame(s, v, Load(v, s.latest()).frame())
+    wrong = View("Issue", "issue", {"id": Column(BIGINT), "more": Column(STRING)})
+    with pytest.raises(WriteError):
+        save_frame(s, wrong, spark.createDataFrame([(1, "x")], "id long, more string"))
+    assert s.version() == 1
