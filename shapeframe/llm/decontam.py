@@ -20,8 +20,9 @@ Words are runs of letters and digits (any byte beyond ASCII counts as a letter),
 long as a slice's longest item and half overlaps the next, so each copy of an item lies in one passage.
 
 Edge cases: null and empty texts leak nothing; items without words match nothing; items with fewer than ten words
-compare one shingle of the words they have; equal items are all reported; repeated documents are reported as often as
-they occur; null ids stay null; other columns are kept by ``drop_leaks`` and ignored by ``find_leaks``.
+compare one shingle of the words they have; equal items are all reported; items with a null id are searched like others
+and reported with a null id, a row for each of them; repeated documents are reported as often as
+they occur; null ids of documents stay null; other columns are kept by ``drop_leaks`` and ignored by ``find_leaks``.
 """
 
 from __future__ import annotations
@@ -66,12 +67,12 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
 class Index:
     """Inverted index of one slice of test items."""
 
-    def __init__(self, items: list[tuple[int, str]], min_score: float, slack: float, min_overlap: float, block: int = 16, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[tuple[int | None, str]], min_score: float, slack: float, min_overlap: float, block: int = 16, k1: float = 1.2, b: float = 0.75):
         coded = [(t or "").encode() for _, t in items]
         w = PassageWords(np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)]))
         order = np.argsort(w.count, kind="stable")
         order = order[w.count[order] > 0]
-        self.ids = np.array([items[i][0] for i in order], np.int64)
+        self.ids = [items[i][0] for i in order]
         self.min_overlap, self.block = min_overlap, block
         own = [w.hash[w.first[i] : w.first[i] + w.count[i]] for i in order]
         self.terms = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
@@ -107,7 +108,7 @@ class Index:
         halves = [(x[: (len(x) + 1) // 2], x[(len(x) + 1) // 2 :]) for x in own]
         self.parts = [[(min(N, len(h)), shingles(h, min(N, len(h)))) for h in pair] for pair in halves]
 
-    def search(self, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, float, float, float]]:
+    def search(self, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int | None, float, float, float]]:
         """(row, item id, score, question overlap, answer overlap), the best passage of each row and item."""
         w = PassageWords(data, at)
         if not len(self.terms) or not len(w.hash):
@@ -136,7 +137,7 @@ class Index:
         pair, inverse = np.unique(np.repeat(passage, span) * len(self.ids) + self.items[into], return_inverse=True)
         bound = np.bincount(inverse, self.scores[into], minlength=len(pair))
         pair = pair[bound >= self.item_needs[pair % len(self.ids)]]
-        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        best: dict[tuple[int, bool, int], tuple[float, float, float]] = {}  # by row, whether there is an id, and the id or else the item's place
         row_of = np.repeat(np.arange(len(many)), many)
         for passage in np.unique(pair // len(self.ids)):
             row = int(row_of[passage])
@@ -151,15 +152,15 @@ class Index:
             for i in found:
                 q, r = (float(np.isin(part, have[n]).mean()) if len(part) else 1.0 for n, part in self.parts[i])
                 if min(q, r) >= self.min_overlap:
-                    k = (row, int(self.ids[i]))
+                    k = (row, self.ids[i] is not None, int(i) if self.ids[i] is None else self.ids[i])
                     best[k] = max(best.get(k, (0.0, 0.0, 0.0)), (float(scores[i]), q, r))
-        return [(r, i, *v) for (r, i), v in sorted(best.items())]
+        return [(r, i if known else None, *v) for (r, known, i), v in sorted(best.items())]
 
 
 def indexes(benchmark: DataFrame, min_score: float, slack: float, min_overlap: float, slice_words: int, id_col: str, text_col: str) -> Iterator[Index]:
     """The index in slices of at most slice_words words (of two bytes or more with their space); items reach the driver slice by slice."""
     items, size = [], 0
-    rows = benchmark.select(F.col(id_col).cast("long"), text_col).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).orderBy(id_col, text_col)
+    rows = benchmark.select(F.col(id_col).cast("long"), text_col).where(F.col(text_col).isNotNull()).orderBy(id_col, text_col)
     for i, text in rows.toLocalIterator():
         if items and size + len(text) // 2 > slice_words:
             yield Index(items, min_score, slack, min_overlap)

@@ -262,6 +262,15 @@ def test_leaks(spark):
     assert decontam.find_leaks(docs, bench.where("false")).count() == 0
 
 
+def test_leaks_of_items_without_an_id(spark):
+    items = [(None, "one two three four five six seven eight nine ten"), (None, "red orange yellow green blue indigo violet black white grey"), (7, "a b c d e f g h i j"), (None, None)]
+    texts = [(1, f"start {items[0][1]} and {items[1][1]} end"), (2, f"only {items[2][1]} here"), (3, "nothing of the sort")]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (1_000_000, 10):
+        assert sorted((x.doc_id, x.item_id or 0) for x in decontam.find_leaks(docs, bench, slice_words=size).collect()) == [(1, 0), (1, 0), (2, 7)]
+        assert [x.doc_id for x in decontam.drop_leaks(docs, bench, slice_words=size).collect()] == [3]
+
+
 def test_pruning_loses_nothing():
     """The search's answer is that of scoring every passage against every item."""
     r = random.Random(9)
