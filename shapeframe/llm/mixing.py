@@ -8,6 +8,9 @@
    takes as many blocks as its quota says, around the circle at most ``cap`` times, so no document is taken more
    than ``cap`` times.
 
+With ``whole_blocks=False`` quotas are words, and runs still start at a block: a source reaches its target to the word,
+however few words it has. With whole blocks (the form of the SQL) a shard's ``cap`` is rounded down to blocks.
+
 A source has one shard per ``shard_words`` words up to ``max_shards``; a hot source so spreads over many tasks, and a
 shard's window holds only (hash, id, size) rows. Sources and shards are small tables; documents are shuffled once,
 without their text.
@@ -84,8 +87,10 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
     carry: tuple[str, ...] = (),
+    whole_blocks: bool = True,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, shard, and the carried columns."""
+    unit = block if whole_blocks else 1
     sized = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     sized = cut(sized)
     sources = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap))
@@ -96,13 +101,13 @@ def mix_sources(
     dealt = dealt.withColumn("shard", F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % F.col("_shards"))
 
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
-    shards = shards.withColumn("_room", F.floor(F.lit(float(cap)) * F.col("shard_size") / block).cast("long"))
-    seats = sources.withColumn("_seats", F.floor(F.sum("target").over(Window.partitionBy(F.lit(0))) / block + 0.5).cast("long"))
+    shards = shards.withColumn("_room", F.floor(F.lit(float(cap)) * F.col("shard_size") / unit).cast("long"))
+    seats = sources.withColumn("_seats", F.floor(F.sum("target").over(Window.partitionBy(F.lit(0))) / unit + 0.5).cast("long"))
     won = apportion(seats, [], "target", "_seats", [F.col("source").asc_nulls_last()], "blocks").select(F.col("source").alias("_source"), "blocks")
     shards = shards.join(small(cut(won)), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     quotas = apportion(shards, ["source"], "shard_size", "blocks", [F.col("shard")], "_quota")
     start = (_hash(seed, F.col("source"), F.col("shard")) % F.greatest(F.lit(1), F.floor(F.col("shard_size") / block))) * block
-    quotas = quotas.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", (F.least("_quota", "_room") * block).alias("_take"), start.cast("long").alias("_start"))
+    quotas = quotas.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", (F.least("_quota", "_room") * unit).alias("_take"), start.cast("long").alias("_start"))
     dealt = dealt.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
 
     line = Window.partitionBy("source", "shard").orderBy("_h", F.col("doc_id").asc_nulls_first(), "size")

@@ -99,6 +99,15 @@ def test_mix(docs, nothing):
     assert mixing.mix_sources(nothing).count() == 0
 
 
+def test_mix_of_tiny_sources(spark):
+    import corpus_pipeline
+
+    rows = [(i, "en", "large", 1, "word " * 300) for i in range(20)] + [(100, "en", "m", 1, "a b c"), (101, "en", "n", 1, "a b c d e"), (102, "en", "o", 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long, text string")
+    got = corpus_pipeline.mix(spark, docs, "").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert {r.source for r in got} == {"large", "m", "n", "o"} and all(abs(r.taken - r.target) <= 1 for r in got)
+
+
 # 2 ------------------------------------------------------------------------------------------------------------------
 
 URLS = [None, "", "nothing", "http://", "http://Org/a", "https://x.EXAMPLE.org/es/1?q", "http://example.org/en/12#f", "http://example.org", "http://a.com/fr/1", "http://a.com/de/", "http://a.com/en", "http://acom/de/", "x://b.com?de/", "http://b.net/ü/é?x", "ftp://a.com/de/"]
