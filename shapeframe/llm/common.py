@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows up to which a side may be broadcast. Sides are counted before; above it a shuffled join runs.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side may be broadcast. Sides are counted before; above either a shuffled join runs.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared checkpoint folder; a temporary one only where none is set and all runs on this machine, as in tests.
+
+    ``shapeframe.lineage`` holds the same for the engine: this subpackage and the rest can each be taken away.
+    """
     folder = spark.sparkContext._jsc.sc().getCheckpointDir()
     if folder.isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
         folder = spark.sparkContext._jsc.sc().getCheckpointDir()
     return folder.get()
 
@@ -43,9 +49,67 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it is counted to have at most that many (narrow) rows. Pass materialised rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _width(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.ArrayType):
+        return F.aggregate(F.coalesce(value, F.array().cast(kind)), F.lit(32).cast("long"), lambda n, x: n + _width(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if it is counted to have at most so many rows and bytes. Pass materialised rows."""
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("long"))
+    n, total = df.agg(F.count("*"), F.sum(width)).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as make it none of the frame's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+class Sieve:
+    """A Bloom filter over some keys, inside an expression, so that most other rows are told without a join.
+
+    It is built by bitmap_construct_agg in segments of 4 KB, at most ``segments`` of them (a proven bound: they travel with the
+    tasks), so with too many keys it tells fewer rows apart, but never misses a key.
+    """
+
+    BITS, PLACES = 32768, 2
+
+    def __init__(self, keys: DataFrame, *columns: str, bits_per_key: int = 12, segments: int = 1024):
+        self.segments = max(1, min(segments, -(-keys.count() * bits_per_key // self.BITS)))
+        segment, places = self._at([F.col(c) for c in columns])
+        bits = keys.select(segment.alias("segment"), F.explode(F.array(*places)).alias("bit"))
+        packed = bytearray(self.segments * self.BITS // 8)
+        for r in bits.groupBy("segment").agg(F.bitmap_construct_agg(F.col("bit")).alias("bitmap")).toLocalIterator():
+            packed[r.segment * self.BITS // 8 : (r.segment + 1) * self.BITS // 8] = r.bitmap
+        self.packed = F.lit(bytes(packed))
+
+    def _at(self, key: list[Column]) -> tuple[Column, list[Column]]:
+        segment = F.pmod(F.xxhash64(F.lit(7), *key), F.lit(self.segments)).cast("long")
+        return segment, [F.pmod(F.xxhash64(F.lit(100 + i), *key), F.lit(self.BITS)).cast("long") for i in range(self.PLACES)]
+
+    def may(self, *key: Column) -> Column:
+        """False only for keys that aren't there."""
+        segment, places = self._at(list(key))
+        found = F.lit(True)
+        for place in places:
+            found = found & bit_is_set(self.packed, segment * (self.BITS // 8), place)
+        return found
+
+
+def bit_is_set(bitmap: Column, base: Column, place: Column) -> Column:
+    """Whether a bit of a binary value is set; base is in bytes, place in bits after it."""
+    byte = F.conv(F.hex(F.substr(bitmap, (base + F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1
 
 
 def words(text: Column) -> Column:
