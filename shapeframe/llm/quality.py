@@ -31,8 +31,6 @@ from .common import over_batches
 #: Fixed by the contract.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: So a target of a few short texts says little.
-PRIOR = 50_000
 
 _STATS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [T.StructField("score", T.DoubleType())])
 
@@ -108,11 +106,15 @@ def ngram_counts(documents: DataFrame, trusted: list[int], n: int, bits: int, id
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log(p_target / p_raw) by bucket; the target is smoothed by the corpus, as if it held PRIOR n-grams and 1 % of its own size more of it."""
+    """log(p_target / p_raw) by bucket.
+
+    The target is smoothed by the corpus, as if it held one more n-gram of it for each bucket that the corpus uses, and
+    1 % of its own size. So a target that is small for the corpus's variety says little, and a larger one much.
+    """
     if not raw.sum() or not target.sum():
         return np.zeros(len(raw))
     p_raw = (raw + 1e-3) / (raw + 1e-3).sum()
-    prior = PRIOR + 0.01 * target.sum()
+    prior = np.count_nonzero(raw) + 0.01 * target.sum()
     return np.log((target + prior * p_raw) / (target.sum() + prior)) - np.log(p_raw)
 
 
@@ -163,7 +165,11 @@ def keep_good(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """The documents that judge() keeps, with all their columns; each is judged where it is read."""
+    """The documents that judge() keeps, with all their columns; each is judged where it is read.
+
+    Null and empty texts fail the base rules and go; repeated rows stay or go together; ids aren't read, but for the labels;
+    an empty table stays empty.
+    """
     ratio = fit(documents, labels, n, bits, max_labels, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch], at_col: int = documents.columns.index(text_col)) -> Iterator[pa.RecordBatch]:
@@ -176,3 +182,32 @@ def keep_good(
             yield batch.filter(pa.array(keep))
 
     return documents.transform(over_batches, run, documents.schema)
+
+
+#: For tables with at most max_labels good labels.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+windows AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest([array_to_string(w[i : i + 2], ' ') for i in range(1, len(w) - 1)]) AS g FROM w WHERE len(w) >= 3),
+again AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS times FROM windows),
+repeated AS (SELECT r, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) AS o(k) WHERE times > 1 GROUP BY r),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+hexes AS (SELECT r, regexp_extract_all(hex(encode(text)), '..') AS h FROM d),
+bytes AS (SELECT r, unnest(generate_series(1, len(h))) AS i, ('0x' || unnest(h))::BIGINT + 1 AS b FROM hexes),
+grams AS (SELECT r, b * 2654435761 + lead(b) OVER byte_order * 2246822519 + lead(b, 2) OVER byte_order * 3266489917 AS h FROM bytes WINDOW byte_order AS (PARTITION BY r ORDER BY i)),
+mixed AS (SELECT r, (h % 4294967296)::BIGINT AS h FROM grams WHERE h IS NOT NULL),
+buckets AS (SELECT r, ((xor(h, h >> 15)::HUGEINT * 739982445 % 4294967296)::BIGINT >> 17) AS bucket FROM mixed),
+counted AS (SELECT r, bucket, count(*) AS n FROM buckets GROUP BY r, bucket),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+corpus AS (SELECT bucket, sum(n)::DOUBLE AS raw, coalesce(sum(n) FILTER (WHERE doc_id IN (SELECT doc_id FROM good)), 0)::DOUBLE AS target FROM counted JOIN d ON counted.r = d.r GROUP BY bucket),
+total AS (SELECT sum(raw) AS raw, sum(target) AS target, count(*) + 0.01 * sum(target) AS prior, sum(raw) + 32768 * 1e-3 AS smooth FROM corpus),
+ratio AS (SELECT bucket, CASE WHEN t.target = 0 THEN 0 ELSE ln((c.target + t.prior * (c.raw + 1e-3) / t.smooth) / (t.target + t.prior)) - ln((c.raw + 1e-3) / t.smooth) END AS ratio FROM corpus c, total t),
+scored AS (SELECT r, sum(n * ratio) / sum(n) AS score FROM counted JOIN ratio ON counted.bucket = ratio.bucket GROUP BY r),
+base AS (SELECT d.doc_id, len(w.w)::BIGINT AS n_words, coalesce(list_sum([length(x) for x in w.w]), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(d.text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, coalesce(score, 0) AS score
+    FROM d JOIN w ON d.r = w.r LEFT JOIN dup ON d.r = dup.r LEFT JOIN repeated ON d.r = repeated.r LEFT JOIN scored ON d.r = scored.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND score >= -0.3 AS kept
+FROM base
+"""
