@@ -25,6 +25,7 @@ schema, is invalid; other columns are ignored.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 from typing import Any
@@ -41,8 +42,42 @@ _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null":
 Schema = dict[str, Any]
 
 
+#: Levels of arrays and objects in markup; deeper markup stays text.
+MAX_DEPTH = 64
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def encodable(text: str) -> str:
+    """The text; half surrogates, which UTF-8 cannot hold, as escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value: Any) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return encodable(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _no_constant(name: str) -> Any:
+    raise ValueError(f"{name} is not JSON")
+
+
+def _finite(text: str) -> float:
+    if not math.isfinite(value := float(text)):
+        raise ValueError("the number is too large")
+    return value
+
+
+def decoded(text: str) -> Any:
+    """The value of JSON text. ValueError for anything else: NaN and infinities, numbers beyond a double, more than MAX_DEPTH levels."""
+    try:
+        value = json.loads(text, parse_constant=_no_constant, parse_float=_finite)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    level = [value]
+    for _ in range(MAX_DEPTH):
+        level = [x for v in level for x in (v.values() if isinstance(v, dict) else v if isinstance(v, list) else ())]
+        if not level:
+            return value
+    raise ValueError("nested too deeply")
 
 
 def errors(value: Any, schema: Schema, at: str = "$") -> list[str]:
@@ -50,7 +85,7 @@ def errors(value: Any, schema: Schema, at: str = "$") -> list[str]:
     kind = schema.get("type")
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
     if kind:
-        fits = number and (kind == "number" or float(value).is_integer()) if kind in ("number", "integer") else isinstance(value, _TYPES[kind])
+        fits = number and (kind == "number" or isinstance(value, int) or value.is_integer()) if kind in ("number", "integer") else isinstance(value, _TYPES[kind])
         if not fits:
             return [f"{at}: not {kind}"]
     out = []
@@ -92,10 +127,10 @@ def parts(role: str | None, text: str | None, turn: int | None, schemas: dict[st
     def call(name: Any, identifier: str, arguments: Any) -> Part:
         wrong = errors(arguments, schemas[name]) if isinstance(name, str) and name in schemas else ["$: no schema"]
         body = {"arguments": arguments, "id": identifier, "name": name, "role": role, "type": "call"}
-        return "call", identifier, canonical(body), not wrong, "; ".join(wrong) or None, references(arguments)
+        return "call", encodable(identifier), canonical(body), not wrong, encodable("; ".join(wrong)) or None, [encodable(r) for r in references(arguments)]
 
     def result(identifier: str, content: Any) -> Part:
-        return "result", identifier, canonical({"content": content, "id": identifier, "role": role, "type": "result"}), None, None, []
+        return "result", encodable(identifier), canonical({"content": content, "id": identifier, "role": role, "type": "result"}), None, None, []
 
     def plain(content: str) -> Part:
         return "text", None, canonical({"content": content, "role": role, "type": "text"}), None, None, []
@@ -107,7 +142,7 @@ def parts(role: str | None, text: str | None, turn: int | None, schemas: dict[st
     at = 0
     for m in _MARK.finditer(text):
         try:
-            body = json.loads(m[2])
+            body = decoded(m[2])
         except ValueError:
             continue
         if not isinstance(body, dict) or "id" not in body or m[1] == "tool_call" and (role != "assistant" or "name" not in body):
@@ -196,7 +231,7 @@ WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text,
 c AS (SELECT conv_id, turn FROM m WHERE kind = 'call'), r AS (SELECT conv_id, call_no FROM m WHERE kind = 'result')
 SELECT conv_id, turn, role, kind, call_no::VARCHAR AS call_id,
     CASE kind WHEN 'call' THEN (conv_id, turn) IN (SELECT conv_id, call_no FROM r) WHEN 'result' THEN (conv_id, call_no) IN (SELECT conv_id, turn FROM c) ELSE false END AS linked,
-    CASE kind WHEN 'call' THEN length(text) BETWEEN 1 AND 2000 ELSE true END AS valid,
+    CASE kind WHEN 'call' THEN length(text) BETWEEN 1 AND 2000 END AS valid,
     turn AS place, CASE WHEN kind = 'result' AND (conv_id, call_no) IN (SELECT conv_id, turn FROM c) THEN 1 ELSE 0 END::BIGINT AS depth,
     CASE kind WHEN 'call' THEN '{"arguments":{"text":' || to_json(text) || '},"id":"' || call_no || '","name":"reply","role":' || to_json(role) || ',"type":"call"}'
         WHEN 'result' THEN '{"content":' || to_json(text) || ',"id":"' || call_no || '","role":' || to_json(role) || ',"type":"result"}'
