@@ -6,12 +6,14 @@ identifier cues. From an anchor, a deterministic local parser expands to the bou
 * email, ip, card, phone: the base kinds, leftmost and non-overlapping within their kind; a match that fails its check
   is dropped without a retry. A parser starts where a leftmost match can start: at the first digit of a run, at a plus
   sign, or at the leftmost local character before an at-sign.
-* secret: a cue such as ``token`` or ``password``, then ``=`` or ``:``, then a value of 12 or more characters that holds a digit.
+* secret: a cue such as ``token`` or ``password``, then ``=`` or ``:`` (after ``bearer`` a space), then a value of 12 or more
+  characters that holds a digit.
 * account: a cue such as ``iban`` or ``account``, then an IBAN that passes mod 97, or 6 to 17 digits.
 * login: user information before the host of an address (``scheme://user:secret@host``).
 
 Edge cases: null and empty texts have no spans (and the hash of the empty string); texts of any length are read whole,
-in one pass; repeated rows are treated alike; other columns are ignored.
+in one pass, and each parser is linear (it never goes back over what a class of characters took); cues fit in any casing of
+ASCII letters; ids are integers; repeated rows are treated alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,13 +39,17 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone", "secret", "account", "login")
 BASE = 4
 
-SECRET_CUES = ("token", "password", "passwd", "secret", "api_key", "apikey", "api key")
+#: In lower case; any casing of the text fits.
+SECRET_CUES = ("token", "password", "passwd", "pwd", "secret", "api_key", "apikey", "api key", "api-key", "access_key", "access key", "access-key", "private_key")
+BEARER_CUES = ("bearer",)
 ACCOUNT_CUES = ("iban", "account", "acct", "konto", "compte", "cuenta")
-_SECRET = re.compile(r"[\x20]*[=:][\x20]*[\"']?(?=[A-Za-z0-9+/_.-]*[0-9])([A-Za-z0-9+/_.-]{12,})")
-_IBAN = re.compile(r"[\x20:=#]*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
-_ACCOUNT = re.compile(r"[\x20]*(?:number|no|nr|num)?[.\x20:=#]*([0-9]{6,17})(?![A-Za-z0-9])", re.I)
+_SECRET = re.compile(r"[\"']?[\x20]*+[=:][\x20]*+[\"']?(?=[A-Za-z0-9+/_.-]*[0-9])([A-Za-z0-9+/_.-]{12,})")
+_BEARER = re.compile(r"[\x20]++(?=[A-Za-z0-9+/_.=-]*[0-9])([A-Za-z0-9+/_.=-]{12,})")
+_IBAN = re.compile(r"[\x20:=#]*+([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+_ACCOUNT = re.compile(r"[\x20]*+(?:number|num|no|nr)?+[.\x20:=#]*+([0-9]{6,17})(?![A-Za-z0-9])", re.I)
 _LOGIN = re.compile(r"[^\s/?#@:]+:[^\s/?#@]+(?=@[A-Za-z0-9])")
 _DIGITS = "0123456789"
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 @lru_cache(1)
@@ -54,10 +60,9 @@ def automaton() -> ahocorasick.Automaton:
     a.add_word("@", ("at", 1))
     a.add_word("+", ("plus", 1))
     a.add_word("://", ("scheme", 3))
-    for kind, cues in (("secret", SECRET_CUES), ("account", ACCOUNT_CUES)):
+    for kind, cues in (("secret", SECRET_CUES), ("bearer", BEARER_CUES), ("account", ACCOUNT_CUES)):
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                a.add_word(form, (kind, len(form)))
+            a.add_word(cue, (kind, len(cue)))
     a.make_automaton()
     return a
 
@@ -79,7 +84,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     """(start, index of kind, end), sorted."""
     out: list[tuple[int, int, int]] = []
     email_end = ip_end = card_end = phone_end = secret_end = account_end = 0
-    for at, (anchor, n) in automaton().iter(text):
+    for at, (anchor, n) in automaton().iter(text.translate(_LOWER)):
         if anchor == "digit":
             if at and text[at - 1] in _DIGITS:
                 continue
@@ -107,8 +112,8 @@ def spans(text: str) -> list[tuple[int, int, int]]:
         elif anchor == "scheme":
             if m := _LOGIN.match(text, at + 1):
                 out.append((at + 1, 6, m.end()))
-        elif anchor == "secret":
-            if at >= secret_end and (m := _SECRET.match(text, at + 1)):
+        elif anchor in ("secret", "bearer"):
+            if at >= secret_end and (m := (_SECRET if anchor == "secret" else _BEARER).match(text, at + 1)):
                 secret_end = m.end()
                 out.append((m.start(1), 4, secret_end))
         elif at >= account_end:
@@ -121,8 +126,8 @@ def spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, a count for each kind, base_sha256 and spans, a row for each document."""
-    names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"]
+    """doc_id, a count for each kind, n_spans (all kinds), base_sha256 and spans, a row for each document."""
+    names = ["doc_id", *[f"n_{k}" for k in KINDS], "n_spans", "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +141,7 @@ def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 base = ",".join(w for w, x in zip(written, found, strict=True) if x[1] < BASE)
                 shas.append(hashlib.sha256(base.encode()).hexdigest())
                 joined.append(",".join(written))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas, pa.string()), pa.array(joined, pa.string())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array([sum(c) for c in zip(*counts, strict=True)], pa.int64()), pa.array(shas, pa.string()), pa.array(joined, pa.string())], names)
 
-    schema = ", ".join(["doc_id long", *[f"n_{k} long" for k in KINDS], "base_sha256 string", "spans string"])
+    schema = ", ".join(["doc_id long", *[f"n_{k} long" for k in KINDS], "n_spans long", "base_sha256 string", "spans string"])
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).transform(over_batches, run, schema)
