@@ -23,6 +23,7 @@ are ignored.
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
 from collections import Counter
@@ -38,16 +39,24 @@ from .common import over_batches
 
 #: Elements whose content is not markup: without an end tag they run to the end of the page, as in browsers.
 _RAW = "script|style|title|textarea|iframe"
-_ATTRIBUTES = "(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
-_TAG = rf"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})>"
-_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<({_RAW})(?=[\s/>])({_ATTRIBUTES})>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|{_TAG}|<[!?/][^>]*>", re.S | re.I)
+#: Attributes take all up to the tag's end and are never gone back over, so every pass over a page is linear.
+_ATTRIBUTES = "(?:[^>\"']++|\"[^\"]*+(?:\"|\\Z)|'[^']*+(?:'|\\Z))*+"
+_TAG = rf"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_ATTRIBUTES})(>|\Z)"
+_OTHER = r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?/][^<>]*+>"
+_TOKEN = re.compile(rf"<({_RAW})(?=[\s/>])({_ATTRIBUTES})>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)|{_TAG}|{_OTHER}", re.S | re.I)
+#: For what follows a tag whose quotes never close: quotes mean nothing, and a tag without an end is text.
+_LOOSE = re.compile(rf"<({_RAW})(?=[\s/>])([^<>]*+)>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)(>)|{_OTHER}", re.S | re.I)
 #: One tag, in the groups of _TOKEN.
-_ONE = re.compile(rf"(?!)()()|{_TAG}")
+_ONE = re.compile(rf"(?!)()()|{_TAG}", re.S)
+#: Open elements that are told apart; elements further in are read, but don't bound or describe what they hold.
+MAX_DEPTH = 64
 #: Elements whose content is markup and is not text. Without an end tag they hold nothing.
 _IGNORED = frozenset("noscript template select svg object canvas".split())
 _ANY_IGNORED = re.compile(rf"<(?:{'|'.join(sorted(_IGNORED))})(?=[\s/>])", re.I)
 #: Elements that bound blocks.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul head".split())
+#: Elements that hold other blocks; a text's container is the innermost of them.
+_HOLDS = frozenset("address article aside blockquote body center div dl fieldset figure footer form header li main nav ol section table td th tr ul".split())
 _VOID = frozenset(("hr", "br", "img", "input", "meta", "link"))
 #: What a start tag closes first, if it is open further in than the second set.
 _CLOSES = {
@@ -77,6 +86,15 @@ def _words_of(attributes: str) -> frozenset[str]:
     return frozenset(out)
 
 
+def _scan(page: str) -> Iterator[re.Match[str]]:
+    """The tokens of a page. From a tag on whose quotes never close, tags are read without regard to quotes."""
+    for m in _TOKEN.finditer(page):
+        if m[4] and not m[6]:
+            yield from _LOOSE.finditer(page, m.start())
+            return
+        yield m
+
+
 def _ignored(page: str) -> tuple[list[re.Match[str]], dict[int, int]]:
     """The page's tokens, and where each ignored element that has an end tag starts and ends.
 
@@ -91,6 +109,9 @@ def _ignored(page: str) -> tuple[list[re.Match[str]], dict[int, int]]:
         if m[1] and inside["svg"] and m[2].endswith("/"):  # in a drawing a tag like <title/> has no content
             m = _ONE.match(page, m.start())
             scan = _TOKEN.finditer(page, m.end())
+        if m[4] and not m[6]:
+            scan = _LOOSE.finditer(page, m.start())
+            continue
         tokens.append(m)
         tag = (m[4] or "").lower()
         if (tag not in _IGNORED and tag not in BLOCKS) or m[5][:1] not in " \t\n\r\f/":
@@ -116,7 +137,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, frozenset[str]]] = []
     path: Path = ()
     text: list[str] = []
-    linked, links, at = 0, 0, 0
+    linked, links, at, beyond = 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal text, linked
@@ -126,7 +147,7 @@ def blocks(page: str) -> list[Block]:
                 out.append((path, joined, linked))
             text, linked = [], 0
 
-    tokens, ends = _ignored(page) if _ANY_IGNORED.search(page) else (_TOKEN.finditer(page), {})
+    tokens, ends = _ignored(page) if _ANY_IGNORED.search(page) else (_scan(page), {})
     for m in tokens:
         if m.start() < at:
             continue
@@ -146,7 +167,9 @@ def blocks(page: str) -> list[Block]:
         elif tag in BLOCKS:
             flush()
             links = 0
-            if m[3]:
+            if beyond and m[3]:
+                beyond -= 1
+            elif m[3]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         del stack[i:]
@@ -156,9 +179,14 @@ def blocks(page: str) -> list[Block]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in closes:
                         del stack[i:]
+                        beyond = 0
                     if i < len(stack) and stack[i][0] in inside:
                         break
-                if tag not in _VOID and not m[0].endswith("/>"):
+                if tag in _VOID or m[0].endswith("/>"):
+                    pass
+                elif len(stack) >= MAX_DEPTH:
+                    beyond += 1
+                else:
                     stack.append((tag, _words_of(m[5]) if "=" in m[5] else frozenset()))
             path = tuple(stack)
     if at < len(page):
@@ -180,13 +208,37 @@ def path_features(path: Path) -> tuple[str, ...]:
 
 
 def text_features(text: str, linked: int) -> tuple[str, ...]:
-    n = text.count(" ") + 1
-    size = "1" if n < 3 else "3" if n < 8 else "8" if n < 20 else "20" if n < 50 else "50"
+    size = _size(text.count(" ") + 1)
     share = linked / max(1, len(text))
     link = "none" if share == 0 else "some" if share < 0.4 else "most" if share < 0.9 else "all"
     return (f"size={size}", f"link={link}", f"end={text[-1] in _END}", f"link={link},size={size}", *(("sign",) if "©" in text or "®" in text or "·" in text else ()))
 
 
+def _size(n: int) -> str:
+    return "1" if n < 3 else "3" if n < 8 else "8" if n < 20 else "20" if n < 50 else "50"
+
+
+def place_features(page: list[Block]) -> list[tuple[str, ...]]:
+    """What a block's neighbours and its container tell: for pages whose tags and names tell nothing."""
+    words = [t.count(" ") + 1 for _, t, _ in page]
+    plain = [max(0, len(t) - k) for _, t, k in page]
+    full = [len(t) for _, t, _ in page]
+    inside: Counter[Path] = Counter()
+    holders = [path if path and path[-1][0] in _HOLDS else path[:-1] for path, _, _ in page]
+    for h, n in zip(holders, plain, strict=True):
+        inside[h] += n
+    whole, out = max(1, sum(plain)), []
+    for i in range(len(page)):
+        a, z = max(0, i - 2), min(len(page), i + 3)
+        share = 1 - sum(plain[a:z]) / max(1, sum(full[a:z]))
+        link = "none" if share < 0.05 else "some" if share < 0.4 else "most"
+        held = inside[holders[i]] / whole
+        holder = "half" if held >= 0.5 else "fifth" if held >= 0.2 else "bit" if held >= 0.05 else "none"
+        before, after = (_size(words[i - 1]) if i else "edge"), (_size(words[i + 1]) if i + 1 < len(page) else "edge")
+        out.append((f"near_link={link}", f"holder={holder}", f"before={before}", f"after={after}", f"holder={holder},size={_size(words[i])}", f"near_link={link},holder={holder}"))
+    return out
+
+
 class Field:
     """Weights of the chain: by feature and label, by label pair, and by first and last label. Label 1 is main text."""
 
@@ -194,7 +246,7 @@ class Field:
         self.weights, self.moves, self.ends = weights, moves, ends
         self.paths: dict[Path, tuple[float, float]] = {}
 
-    def emission(self, block: Block) -> tuple[float, float]:
+    def emission(self, block: Block, place: tuple[str, ...]) -> tuple[float, float]:
         path, text, linked = block
         known = self.paths.get(path)
         if known is None:
@@ -203,7 +255,7 @@ class Field:
             if len(self.paths) < 100_000:
                 self.paths[path] = known
         a, b = known
-        for f in text_features(text, linked):
+        for f in (*text_features(text, linked), *place):
             w = self.weights.get(f)
             if w:
                 a, b = a + w[0], b + w[1]
@@ -215,8 +267,8 @@ class Field:
         (s0, s1), (e0, e1) = self.ends.tolist()
         back: list[tuple[int, int]] = []
         a = b = 0.0
-        for i, block in enumerate(page):
-            x, y = self.emission(block)
+        for i, (block, place) in enumerate(zip(page, place_features(page), strict=True)):
+            x, y = self.emission(block, place)
             if not i:
                 a, b = s0 + x, s1 + y
                 continue
@@ -232,11 +284,17 @@ class Field:
         return labels[::-1]
 
 
+def _either(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))"""
+    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+
 def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 25, rate: float = 0.5, decay: float = 1e-4) -> Field:
     """Maximum likelihood by stochastic gradients with per-weight step sizes; forward and backward sums give the expectations."""
     pages = [p for p in pages if p[0]]
-    names = {f: i for i, f in enumerate(sorted({f for bs, _ in pages for path, text, linked in bs for f in (*path_features(path), *text_features(text, linked))}))}
-    coded = [([np.array([names[f] for f in (*path_features(p), *text_features(t, k))]) for p, t, k in bs], np.array(ys)) for bs, ys in pages]
+    told = [[(*path_features(p), *text_features(t, k), *place) for (p, t, k), place in zip(bs, place_features(bs), strict=True)] for bs, _ in pages]
+    names = {f: i for i, f in enumerate(sorted({f for page in told for found in page for f in found}))}
+    coded = [([np.array([names[f] for f in found]) for found in page], np.array(ys)) for page, (_, ys) in zip(told, pages, strict=True)]
     w, moves, ends = np.zeros((len(names), 2)), np.zeros((2, 2)), np.zeros((2, 2))
     gw, gm, ge = np.full_like(w, 1e-2), np.full_like(moves, 1e-2), np.full_like(ends, 1e-2)
     order = random.Random(11)
@@ -245,13 +303,16 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 25, rate: fl
         for xs, ys in coded:
             n = len(xs)
             emit = np.array([w[x].sum(0) for x in xs])
-            alpha, beta = np.empty((n, 2)), np.empty((n, 2))
-            alpha[0], beta[-1] = ends[0] + emit[0], ends[1]
-            for i in range(1, n):
-                alpha[i] = emit[i] + np.logaddexp(alpha[i - 1, 0] + moves[0], alpha[i - 1, 1] + moves[1])
-                j = n - 1 - i
-                nxt = emit[j + 1] + beta[j + 1]
-                beta[j] = np.logaddexp(moves[:, 0] + nxt[0], moves[:, 1] + nxt[1])
+            (m00, m01), (m10, m11) = moves.tolist()
+            scores = emit.tolist()
+            forward, backward = [(ends[0, 0] + scores[0][0], ends[0, 1] + scores[0][1])], [(ends[1, 0], ends[1, 1])]
+            for x, y in scores[1:]:
+                p, q = forward[-1]
+                forward.append((x + _either(p + m00, q + m10), y + _either(p + m01, q + m11)))
+            for x, y in scores[:0:-1]:
+                p, q = backward[-1][0] + x, backward[-1][1] + y
+                backward.append((_either(m00 + p, m01 + q), _either(m10 + p, m11 + q)))
+            alpha, beta = np.array(forward), np.array(backward[::-1])
             total = np.logaddexp.reduce(alpha[-1] + beta[-1])
             error = -np.exp(alpha + beta - total)
             error[np.arange(n), ys] += 1
@@ -284,6 +345,8 @@ class _Writer:
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        # Some designs tell nothing by tags or names, some are laid out in tables.
+        self.telling, self.table = self.r.random() < 0.65, self.r.random() < 0.1
         self.parts = ["".join(self.r.choice("bcdfglmnprstvz") + self.r.choice("aeiou") for _ in range(self.r.randint(1, 3))) for _ in range(200)]
 
     def say(self, low: int, high: int, mark: str, stop: str = ".") -> str:
@@ -298,6 +361,9 @@ class _Writer:
         return text if self.r.random() < p else ""
 
     def box(self, tags: tuple[str, ...], names: tuple[str, ...], inner: str, plain: float = 0.15) -> str:
+        if not self.telling:
+            tag = self.r.choice(("div", "div", "div", "section", "center"))
+            return f"<{tag}{self.maybe(0.5, ' class=' + chr(34) + self.pick('row', 'c1', 'col', 'inner', 'css-x1', 'block', 'wrap', 'box') + chr(34))}>{inner}</{tag}>"
         tag = self.r.choice(tags)
         name = self.r.choice(names) if names else ""
         if tag in ("div", "section", "ul", "td", "p", "ol", "span") or self.r.random() > 0.5:
@@ -308,7 +374,7 @@ class _Writer:
 
     def links(self, low: int, high: int) -> str:
         items = [f'<li><a href="/y">{self.say(1, 4, OFF, "")}</a></li>' for _ in range(self.r.randint(low, high))]
-        return "<ul>" + "".join(items) + "</ul>" if self.r.random() < 0.8 else " ".join(re.sub("</?li>", "", x) for x in items)
+        return "<ul>" + "".join(items) + "</ul>" if self.r.random() < 0.8 else self.pick(" ", "<br>", " | ").join(re.sub("</?li>", "", x) for x in items) if self.r.random() < 0.7 else "".join(x.replace("li>", "div>") for x in items)
 
     def menu(self) -> str:
         return self.box(("nav", "div", "header"), ("nav", "menu", "main-menu", "navbar", "navigation", "topnav", "breadcrumbs"), self.links(3, 9))
@@ -340,12 +406,13 @@ class _Writer:
         return self.box(("section", "div", "ol", "ul"), ("comments", "comment-list", "responses", "discussion", "disqus-thread", "reader-comments", "replies", "user-comments"), self.maybe(0.6, f"<h2>{self.say(1, 3, OFF, '')}</h2>") + "".join(one() for _ in range(self.r.randint(1, 6))), 0)
 
     def article(self) -> str:
-        close = self.maybe(0.9, "</p>")
+        part = "div" if not self.telling and self.r.random() < 0.5 else "p"
+        close = f"</{part}>" if part == "div" else self.maybe(0.9, "</p>")
         out = []
         for i in range(self.r.randint(1, 10)):
             kind = self.r.random()
             if kind < 0.75:
-                out.append(f"<p>{self.maybe(0.1, '<b>')}{self.say(1, self.pick_size(), MAIN)}{self.maybe(0.1, '<br>')}{close}")
+                out.append(f"<{part}>{self.maybe(0.1, '<b>')}{self.say(1, self.pick_size(), MAIN)}{self.maybe(0.1, '<br>')}{close}")
             elif kind < 0.85:
                 out.append(f"<{self.pick('h2', 'h3')}>{self.say(1, 7, MAIN, '')}</h2>".replace("</h2>", f"</{'h2'}>"))
             elif kind < 0.9:
@@ -358,9 +425,12 @@ class _Writer:
                 out.append("<table>" + "".join(f"<tr><td>{self.say(1, 4, MAIN, '')}</td><td>{self.say(1, 6, MAIN, '')}</td></tr>" for _ in range(self.r.randint(1, 4))) + "</table>")
             if i and self.r.random() < 0.12:
                 out.append(self.pick(self.advert(), self.notice(), self.form(), self.aside()))
-        head = self.maybe(0.85, f"<h1>{self.say(2, 10, MAIN, self.pick('', '.'))}</h1>")
+        title = "div" if part == "div" and self.r.random() < 0.5 else "h1"
+        head = self.maybe(0.85, f"<{title}>{self.say(2, 10, MAIN, self.pick('', '.'))}</{title}>")
         head = f"<header>{head}</header>" if head and self.r.random() < 0.15 else head
-        body = head + "".join(out) + self.maybe(0.15, self.comments())
+        contents = f"<{self.pick('p', 'h2', 'b')}>{self.say(1, 2, OFF, '')}</p>" + "<ul>" + "".join(f'<li><a href="#{i}">{self.say(1, 5, OFF, "")}</a></li>' for i in range(self.r.randint(3, 9))) + "</ul>"
+        contents = self.box(("div", "nav"), ("toc", "contents", "table-of-contents"), contents)
+        body = head + self.maybe(0.12, contents) + "".join(out) + self.maybe(0.15, self.comments())
         body = self.box(("article", "article", "main", "div", "section"), ("content", "article", "post", "post-content", "entry-content", "article-body", "story", "main", "text", "body-text", "main-content"), body)
         return self.box(("main", "div"), ("main", "content", "container", "wrapper", "page"), body) if self.r.random() < 0.4 else body
 
@@ -371,6 +441,10 @@ class _Writer:
         before = [f() for f in (self.header, self.menu, self.notice, self.advert, self.form, self.aside) if self.r.random() < 0.45]
         after = [f() for f in (self.comments, self.aside, self.advert, self.form, self.notice, self.menu, self.footer) if self.r.random() < 0.4]
         self.r.shuffle(before)
+        if self.table:
+            cells = [*before[:2], self.article(), *after[:1]]
+            row = "<table><tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr></table>"
+            return "<html><body>" + "".join(before[2:]) + row + self.maybe(0.7, f"<{self.pick('div', 'p', 'center')}>{OFF}&copy; 2019 {self.say(1, 6, '', '')}</div>") + "</body></html>"
         return "<html><head><title>t</title></head><body>" + "".join(before) + self.article() + "".join(after) + self.maybe(0.9, "</body></html>")
 
 
