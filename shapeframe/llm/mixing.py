@@ -8,12 +8,16 @@
    takes as many blocks as its quota says, around the circle at most ``cap`` times, so no document is taken more
    than ``cap`` times.
 
-With ``whole_blocks=False`` quotas are words, and runs still start at a block: a source reaches its target to the word,
-however few words it has. With whole blocks (the form of the SQL) a shard's ``cap`` is rounded down to blocks.
+4. Quotas are whole blocks, and a shard's last block may be partial: where a shard cannot take more than ``cap`` times its
+   words, and where a source's blocks aren't its target to the word, the difference goes to (or comes from) its shards in
+   order. So each source takes its target, rounded to a word, however few words it has.
+
+``ranges`` tells which words of a document the mix takes: (start, stop) for each time around the circle.
 
 A source has one shard per ``shard_words`` words up to ``max_shards``; a hot source so spreads over many tasks, and a
-shard's window holds only (hash, id, size) rows. Sources and shards are small tables; documents are shuffled once,
-without their text.
+shard's window holds only (hash, id, size) rows, and the carried columns. Shards are a small table; sources too, unless
+they are domains (their windows then still hold one narrow row for each). Documents are shuffled once, without their
+text unless it is carried.
 
 Edge cases: null or empty text has size 0 and takes 0; a null source is a source, ordered last; null ids sort first
 within a shard; rows equal in id and source are dealt separately, in order of size; no documents give no rows; other
@@ -28,6 +32,10 @@ from pyspark.sql import functions as F
 from .common import cut, small, words
 
 
+#: Columns of the result; a carried column of such a name gets an underscore.
+RESULT = ("doc_id", "source", "size", "source_size", "target", "taken", "ranges", "shard")
+
+
 def _hash(*parts: Column | str) -> Column:
     """A non-negative 32-bit number from the seed and what follows."""
     text = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("~")) if isinstance(p, Column) else F.lit(p) for p in parts])
@@ -87,36 +95,48 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
     carry: tuple[str, ...] = (),
-    whole_blocks: bool = True,
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, shard, and the carried columns."""
-    unit = block if whole_blocks else 1
-    sized = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
-    sized = cut(sized)
+    """One row per document: doc_id, source, size, source_size, target, taken, ranges, shard, and the carried columns."""
+    whole = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
+    sized = cut(whole.select("doc_id", "source", "size"))
     sources = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap))
     sources = sources.withColumn("_shards", F.least(F.lit(max_shards), F.greatest(F.lit(1), F.floor(F.col("source_size") / shard_words))).cast("long"))
     s = sources.withColumnRenamed("source", "_source")
-    dealt = sized.join(small(s), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "weight")
-    dealt = dealt.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")))))
-    dealt = dealt.withColumn("shard", F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % F.col("_shards"))
+    s = small(s)
+
+    def shard_of(rows: DataFrame) -> DataFrame:
+        d = rows.join(s, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "weight")
+        d = d.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")))))
+        return d.withColumn("shard", F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % F.col("_shards"))
 
-    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
-    shards = shards.withColumn("_room", F.floor(F.lit(float(cap)) * F.col("shard_size") / unit).cast("long"))
-    seats = sources.withColumn("_seats", F.floor(F.sum("target").over(Window.partitionBy(F.lit(0))) / unit + 0.5).cast("long"))
+    shards = shard_of(sized).groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("target").alias("target"))
+    seats = sources.withColumn("_seats", F.floor(F.sum("target").over(Window.partitionBy(F.lit(0))) / block + 0.5).cast("long"))
     won = apportion(seats, [], "target", "_seats", [F.col("source").asc_nulls_last()], "blocks").select(F.col("source").alias("_source"), "blocks")
     shards = shards.join(small(cut(won)), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     quotas = apportion(shards, ["source"], "shard_size", "blocks", [F.col("shard")], "_quota")
     start = (_hash(seed, F.col("source"), F.col("shard")) % F.greatest(F.lit(1), F.floor(F.col("shard_size") / block))) * block
-    quotas = quotas.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", (F.least("_quota", "_room") * unit).alias("_take"), start.cast("long").alias("_start"))
-    dealt = dealt.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
+    # Blocks to words: what a source misses goes to shards with room, what it has too much comes from its shards, in order.
+    room = F.floor(F.lit(float(cap)) * F.col("shard_size")).cast("long")
+    quotas = quotas.withColumn("_take", F.least(F.col("_quota") * block, room)).withColumn("_room", room - F.col("_take"))
+    of_source = Window.partitionBy("source")
+    before = of_source.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    missing = F.floor(F.col("target") + 0.5).cast("long") - F.sum("_take").over(of_source)
+    quotas = quotas.withColumn("_missing", missing)
+    quotas = quotas.withColumn("_more", F.greatest(F.lit(0), F.least(F.col("_room"), F.col("_missing") - F.coalesce(F.sum("_room").over(before), F.lit(0)))))
+    quotas = quotas.withColumn("_less", F.greatest(F.lit(0), F.least(F.col("_take"), -F.col("_missing") - F.coalesce(F.sum("_take").over(before), F.lit(0)))))
+    quotas = quotas.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", (F.col("_take") + F.col("_more") - F.col("_less")).cast("long").alias("_take"), start.cast("long").alias("_start"))
+    dealt = shard_of(whole if carry else sized).join(small(cut(quotas)), F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
 
     line = Window.partitionBy("source", "shard").orderBy("_h", F.col("doc_id").asc_nulls_first(), "size")
     dealt = dealt.withColumn("_end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    stop, taken = F.col("_start") + F.col("_take"), F.lit(0).cast("long")
+    stop, laps = F.col("_start") + F.col("_take"), []
     for lap in range(int(cap) + 1):
-        a, b = F.col("_end") - F.col("size") + lap * F.col("shard_size"), F.col("_end") + lap * F.col("shard_size")
-        taken = taken + F.greatest(F.lit(0).cast("long"), F.least(stop, b) - F.greatest(F.col("_start"), a))
-    return dealt.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "shard", *[F.col(f"_carry_{c}").alias(c) for c in carry])
+        a = F.col("_end") - F.col("size") + lap * F.col("shard_size")
+        laps.append(F.struct(F.greatest(F.col("_start") - a, F.lit(0)).cast("long").alias("start"), F.least(stop - a, F.col("size")).cast("long").alias("stop")))
+    ranges = F.filter(F.array(*laps), lambda r: r["start"] < r["stop"])
+    taken = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
+    dealt = dealt.withColumn("ranges", ranges)
+    return dealt.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "ranges", "shard", *[F.col(f"_carry_{c}").alias(f"{c}_" if c in RESULT else c) for c in carry])
 
 
 ORACLE = r"""
@@ -145,10 +165,14 @@ sbounds AS (SELECT *, greatest(0, ceil(CASE WHEN total > 0 THEN shard_size * (bl
 srest AS (SELECT *, blocks - sum(low) OVER (PARTITION BY source) AS rest FROM sbounds),
 squot AS (SELECT *, shard_size / (2 * k - 1) AS quotient FROM srest LEFT JOIN LATERAL (SELECT unnest(generate_series(low + 1, greatest(low, high))) AS k) ON true),
 swon AS (SELECT *, (quotient > 0 AND row_number() OVER (PARTITION BY source ORDER BY quotient DESC NULLS LAST, shard) <= rest)::BIGINT AS won FROM squot),
-quota AS (SELECT source, shard, max(shard_size) AS shard_size, least((max(low) + sum(won))::BIGINT, floor(2.0 * max(shard_size) / 32)::BIGINT) * 32 AS take,
+quota AS (SELECT source, shard, max(shard_size) AS shard_size, least((max(low) + sum(won))::BIGINT * 32, floor(2.0 * max(shard_size))::BIGINT) AS take, floor(2.0 * max(shard_size))::BIGINT AS most,
     (('0x' || md5('mix:' || coalesce(source, '~') || ':' || shard::VARCHAR)[1:8])::BIGINT % greatest(1, floor(max(shard_size) / 32))::BIGINT) * 32 AS start FROM swon GROUP BY source, shard),
+missed AS (SELECT q.*, floor(t.target + 0.5)::BIGINT - sum(take) OVER (PARTITION BY q.source) AS missing,
+    coalesce(sum(most - take) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room_before, coalesce(sum(take) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS take_before
+    FROM quota q JOIN target t ON q.source IS NOT DISTINCT FROM t.source WINDOW w AS (PARTITION BY q.source ORDER BY shard)),
+exact AS (SELECT source, shard, shard_size, start, take + greatest(0, least(most - take, missing - room_before)) - greatest(0, least(take, -missing - take_before)) AS take FROM missed),
 lined AS (SELECT d.*, q.shard_size, q.take, q.start, sum(d.size) OVER (PARTITION BY d.source, d.shard ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS stop
-    FROM dealt d JOIN quota q ON d.source IS NOT DISTINCT FROM q.source AND d.shard = q.shard)
+    FROM dealt d JOIN exact q ON d.source IS NOT DISTINCT FROM q.source AND d.shard = q.shard)
 SELECT doc_id, size, source_size, target,
     (greatest(0, least(start + take, stop) - greatest(start, stop - size)) + greatest(0, least(start + take, stop + shard_size) - greatest(start, stop - size + shard_size))
     + greatest(0, least(start + take, stop + 2 * shard_size) - greatest(start, stop - size + 2 * shard_size)))::BIGINT AS taken

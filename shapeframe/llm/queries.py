@@ -26,7 +26,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chat.format_chat(table(spark, sf_dir, "conversations"), chat.REPLY, turns_as_calls=True).drop("part", "errors")
-    return c.withColumns({"linked": F.coalesce("linked", F.lit(False)), "valid": F.coalesce("valid", F.lit(True))})
+    return c.withColumn("linked", F.coalesce("linked", F.lit(False)))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +44,11 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("score")
 
 
 def op9_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_pii(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return pii.find_pii(table(spark, sf_dir, "documents")).select("doc_id", *[f"n_{k}" for k in pii.KINDS], "n_spans", "base_sha256", "spans")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,4 +57,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_ngram_jaccard, op4_chat_format, op5_decontaminate, op6_count_tokens, op7_html_text, op8_quality_rules, op9_find_pii, op10_line_dedup)}
-ORACLE_SQL = {"op1_mix_sources": mixing.ORACLE, "op2_url_filter": urlfilter.ORACLE, "op4_chat_format": chat.ORACLE, "op10_line_dedup": linededup.ORACLE}
+ORACLE_SQL = {"op1_mix_sources": mixing.ORACLE, "op2_url_filter": urlfilter.ORACLE, "op3_ngram_jaccard": jaccard.ORACLE, "op4_chat_format": chat.ORACLE, "op8_quality_rules": quality.ORACLE, "op10_line_dedup": linededup.ORACLE}
