@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tests_llm_plain import LOWER, linked, without_copies, words
 
+from shapeframe.llm.common import Sieve
 from shapeframe.llm import arrays, chat, components, decontam, htmltext, jaccard, linededup, mixing, pii, quality, tokens, urlfilter
 
 #: Names that operators use inside, as columns of the input.
@@ -89,12 +90,12 @@ def test_mix(docs, nothing):
     rows = run()
     assert rows == run() and len(rows) == docs.count()
     by = collections.defaultdict(list)
-    for doc_id, source, size, source_size, target, taken, _ in rows:
-        assert 0 <= taken <= 2 * size
+    for doc_id, source, size, source_size, target, taken, ranges, _ in rows:
+        assert 0 <= taken <= 2 * size and all(0 <= a < b <= size for a, b in ranges) and sum(b - a for a, b in ranges) == taken
         by[source].append((size, taken, source_size, target))
     for group in by.values():
         assert sum(x[0] for x in group) == group[0][2]
-        assert abs(sum(x[1] for x in group) - group[0][3]) <= 4 * (2 + group[0][2] // 200)
+        assert abs(sum(x[1] for x in group) - group[0][3]) <= 1
     assert sorted(str((d, len(words(t)))) for d, t, _ in corpus()) == sorted(str((r[0], r[2])) for r in rows)
     assert mixing.mix_sources(nothing).count() == 0
 
@@ -145,6 +146,23 @@ def test_cascade_is_exact_though_its_levels_are_not(spark, most):
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 
+def test_columns_of_any_name(spark):
+    rows = [(i, f"{'same words in all of these texts ' * 3}{i // 4}", "s", i, i) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _drop_hash int, _drop_id int")
+    kept = jaccard.drop_near_copies(docs)
+    assert kept.columns == docs.columns and all(r._drop_hash == r.doc_id for r in kept.collect())
+    mixed = mixing.mix_sources(docs.withColumnsRenamed({"_drop_hash": "size", "_drop_id": "ranges"}), carry=("size", "ranges", "text"))
+    assert len(set(mixed.columns)) == len(mixed.columns) and mixed.where("size_ = doc_id").count() == 12
+
+
+@pytest.mark.parametrize("keys", [0, 10, 5000])
+def test_sieve_misses_no_key(spark, keys):
+    found = Sieve(spark.range(keys), "id", segments=1)
+    marked = spark.range(20_000).withColumn("may", found.may(F.col("id")))
+    assert marked.where(F.col("id") < keys).where("NOT may").count() == 0
+    assert marked.where(F.col("id") >= keys).where("may").count() < (5000 if keys else 1)
+
+
 @pytest.mark.parametrize("chunk", [384, 2])
 def test_near_copies(spark, docs, nothing, monkeypatch, chunk):
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
@@ -233,6 +251,18 @@ def test_tool_calls(spark):
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 
+def test_hostile_markup(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    bodies = [r'{"id": "s\ud800", "name": "add", "arguments": {"a": "\ud800", "\udfff": 1}}', '{"id": 1, "name": "add", "arguments": %s}' % deep, '{"id": 2, "name": "add", "arguments": {"a": %s}}' % ("9" * 400), '{"id": 3, "name": "add", "arguments": {"a": NaN}}', '{"id": 4, "name": "add", "arguments": {"a": -Infinity}}', '{"id": 5, "name": "add", "arguments": {"a": 1e999}}', '{"id": 6, "name": "add", "arguments": {"a": %s}}' % ("9" * 5000), '{"id": 7, "name": "add", "arguments": %s1%s}' % ("[" * 80, "]" * 80)]
+    rows = [(i, 0, "assistant", f"<tool_call>{b}</tool_call>") for i, b in enumerate(bodies)]
+    got = {r.conv_id: r for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"add": {"type": "object", "properties": {"a": {"type": "integer"}}}}).collect()}
+    assert [got[i].kind for i in range(8)] == ["call", "text", "call", "text", "text", "text", "text", "text"]
+    assert got[0].call_id == "s\\ud800" and not got[0].valid and json.loads(got[0].json)["arguments"] == {"a": "\ud800", "\udfff": 1}
+    assert got[2].valid and json.loads(got[2].json)["arguments"]["a"] == int("9" * 400)
+    for r in got.values():
+        json.loads(r.json, parse_constant=lambda name: pytest.fail(name))
+
+
 def test_leaks(spark):
     r = random.Random(4)
     vocabulary = [f"w{i}" for i in range(150)]
@@ -338,7 +368,7 @@ def test_viterbi_is_the_best_path():
     field = htmltext.trained()
     for page, _ in htmltext.labelled_pages(40, 900_000):
         page = page[:7]
-        score = lambda ys: sum(field.emission(b)[y] for b, y in zip(page, ys, strict=True)) + sum(field.moves[a, b] for a, b in zip(ys, ys[1:], strict=False)) + field.ends[0, ys[0]] + field.ends[1, ys[-1]]  # noqa: B023, E731
+        score = lambda ys: sum(field.emission(b, p)[y] for b, p, y in zip(page, htmltext.place_features(page), ys, strict=True)) + sum(field.moves[a, b] for a, b in zip(ys, ys[1:], strict=False)) + field.ends[0, ys[0]] + field.ends[1, ys[-1]]  # noqa: B023, E731
         best = max(itertools.product((0, 1), repeat=len(page)), key=score)
         assert score(tuple(field.decode(page))) == pytest.approx(score(best))
 
@@ -363,6 +393,30 @@ def test_pages_are_read_to_their_end():
         assert texts(f"<p>One <{tag}> two.</p><p>Three.</p>") == ["One"]
 
 
+def test_hostile_pages_are_read_in_linear_time():
+    import time
+
+    for page in ("<a " * 300_000, '<a "' * 250_000, "<p>x</p>" + '<a "' * 250_001 + "y>", "<!--" * 250_000, "<!x" * 300_000, "<script>" + "</script " * 100_000, '<p class="' * 100_000, "<svg>" * 100_000):
+        start = time.process_time()
+        htmltext.blocks(page)
+        assert time.process_time() - start < 5
+    assert [b[1] for b in htmltext.blocks('<p>a</p><a href="x>one</a> two <b>q</b> three</p><p>four')] == ["a", "one two q three", "four"]
+    assert [b[1] for b in htmltext.blocks("<div>" * 1000 + "in" + "</div>" * 1000 + "<p>out</p>")] == ["in", "out"]
+
+
+def test_pages_of_other_designs():
+    """Pages written by hand, not by the generator: (label, text) in page order."""
+    say = lambda k: " ".join(["Rivers carry sand from the hills down to the sea and leave it where the current slows."] * k)
+    pages = [
+        f"<html><body><div id='top'><a href='/'>Main page</a> <a href='/r'>Random</a></div><div><h1>River</h1><p>{say(2)}</p><div><h2>Contents</h2><ul><li><a href='#1'>1 Source</a></li><li><a href='#2'>2 Course</a></li><li><a href='#3'>3 Mouth</a></li></ul></div><h2>Source</h2><p>{say(3)}</p><h2>Course</h2><p>{say(4)}</p></div></body></html>",
+        f"<html><body><table><tr><td><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></td><td><h1>Sand</h1><p>{say(3)}</p><p>{say(2)}</p></td></tr></table><center>Copyright 2003 The Sand Club</center></body></html>",
+        f"<html><body><div><div><a href='/1'>Start</a></div><div><a href='/2'>Blog</a></div></div><div><div>The slow river</div><div>{say(3)}</div><div>{say(2)}</div><div>{say(4)}</div></div></body></html>",
+    ]
+    wanted = [["River", say(2), "Source", say(3), "Course", say(4)], ["Sand", say(3), say(2)], ["The slow river", say(3), say(2), say(4)]]
+    for page, texts in zip(pages, wanted, strict=True):
+        assert htmltext.main_text(htmltext.trained(), page) == "\n\n".join(texts)
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -446,6 +500,17 @@ def test_pii(spark, nothing):
     assert pii.find_pii(nothing).count() == 0
 
 
+def test_cues():
+    import time
+
+    for text in ("ApiKey: abcdef0123456789", "Api Key = abcdef0123456789", "api-key: abcdef0123456789", "Authorization: Bearer abcdef0123456789", 'TOKEN="abcdef0123456789"', '{"password": "abcdef0123456789"}'):
+        assert [text[a:z] for a, k, z in pii.spans(text) if pii.KINDS[k] == "secret"] == ["abcdef0123456789"], text
+    for text in (("iban" + " " * 8000) * 100, ("account no" + " .:" * 3000) * 100, ("token" + " " * 8000) * 100, "a" * 1_000_000 + "@", "1" * 1_000_000, "token=" + "a" * 1_000_000, "x://" + "a:" * 500_000):
+        start = time.process_time()
+        pii.spans(text)
+        assert time.process_time() - start < 5
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------
 
 
