@@ -79,8 +79,9 @@ def _closure(q: Query) -> str:
     else:
         anchor, step = f"t.{key} IN (:keys)", f"t.{key} = r.n"
         carried, guard = f"t.{key}", f"t.{key}"
+    most = f" AND size(r.p) < {q.link.field.depth}" if q.link.kind == "child" and q.link.field.depth else ""
     follow = f", t.{fk} AS n" if q.link.kind == "to_one" else ""
-    inner = f"SELECT {carried} AS k, array(t.{key}) AS p{follow} FROM {quote(q.table)} t WHERE {anchor} UNION ALL SELECT {carried}, concat(r.p, array(t.{key})){follow.replace(' AS n', '')} FROM {quote(q.table)} t JOIN tree r ON {step} WHERE NOT array_contains(r.p, {guard})"
+    inner = f"SELECT {carried} AS k, array(t.{key}) AS p{follow} FROM {quote(q.table)} t WHERE {anchor} UNION ALL SELECT {carried}, concat(r.p, array(t.{key})){follow.replace(' AS n', '')} FROM {quote(q.table)} t JOIN tree r ON {step} WHERE NOT array_contains(r.p, {guard}){most}"
     columns = ", ".join(_column(c) for c in q.columns if c.role != "computed")
     names = "k, p, n" if follow else "k, p"
     return f"WITH RECURSIVE tree({names}) AS ({inner}) SELECT {columns} FROM {quote(q.table)} AS t JOIN (SELECT DISTINCT k FROM tree) d ON d.k = t.{key}"
