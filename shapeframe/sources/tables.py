@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+import threading
+import uuid
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.errors import AnalysisException, ParseException
@@ -13,6 +16,27 @@ from ..errors import ParamsError, QueryError
 from ..plans.sqltext import KEYS, parameters, with_keys
 
 
+_ONE_AT_A_TIME = threading.RLock()
+
+
+@contextmanager
+def _views(spark: SparkSession, frames: Mapping[str, DataFrame]) -> Iterator[None]:
+    """Frames as views while a text is analysed (which binds them): one text at a time, and a session's own views come back."""
+    with _ONE_AT_A_TIME:
+        catalog = spark._jsparkSession.sessionState().catalog()
+        own = {name: spark.table(name) for name in frames if catalog.getTempView(name).isDefined()}
+        try:
+            for name, frame in frames.items():
+                frame.createOrReplaceTempView(name)
+            yield
+        finally:
+            for name in frames:
+                if name in own:
+                    own[name].createOrReplaceTempView(name)
+                else:
+                    spark.catalog.dropTempView(name)
+
+
 class Tables:
     """Tables by name: frames, functions that make frames, or a folder of Parquet files."""
 
@@ -50,7 +74,7 @@ class Tables:
         return found
 
     def sql(self, text: str, params: Mapping[str, Any] | None = None, keys: DataFrame | None = None, view: str = "", path: str = "$root") -> DataFrame:
-        """The rows of user SQL. Tables that it names are views while it is analysed; ``:keys`` is a relation of keys.
+        """The rows of user SQL. Tables that it names are views while it is analysed, in any number of threads; ``:keys`` is a relation of keys.
 
         Each ``:name`` needs a value, and each value a ``:name``.
         """
@@ -60,16 +84,18 @@ class Tables:
             raise ParamsError(view, path, f"no value for :{', :'.join(missing)}")
         if extra := [n for n in bound if n not in names]:
             raise ParamsError(view, path, f"no parameter :{', :'.join(extra)}")
+        if takes and keys is None:
+            raise ParamsError(view, path, "the text takes keys, and there are none")
+        relation = f"{KEYS}_{uuid.uuid4().hex}"
+        if takes:
+            text = with_keys(text, relation)
+        frames = {relation: keys} if takes else {}
         for word in set(re.findall(r"[A-Za-z_]\w*", text)):
             if word in self.made or (self.folder is not None and self._exists(word)):
-                self.table(word).createOrReplaceTempView(word)
-        if takes:
-            if keys is None:
-                raise ParamsError(view, path, "the text takes keys, and there are none")
-            keys.createOrReplaceTempView(KEYS)
-            text = with_keys(text)
+                frames[word] = self.table(word)
         try:
-            return self.spark.sql(text, args=bound) if bound else self.spark.sql(text)
+            with _views(self.spark, frames):
+                return self.spark.sql(text, args=bound) if bound else self.spark.sql(text)
         except (AnalysisException, ParseException) as e:
             raise QueryError(view, path, f"{e}\n  sql: {text}") from e
 
