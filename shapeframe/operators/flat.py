@@ -37,6 +37,18 @@ def resolver(q: Query):
     return resolve
 
 
+def own_column(view: str, table: DataFrame):
+    """From a name to the table's column."""
+    names = {c.lower() for c in table.columns}
+
+    def resolve(name: str) -> Column:
+        if name.lower() not in names:
+            raise ColumnNotSelected(view, name, "its table has no such column")
+        return table[quote(name)]
+
+    return resolve
+
+
 def generated(q: Query, table: DataFrame, link: DataFrame | None, keys: DataFrame | None, args: Nested | None) -> DataFrame:
     """The rows of a query that isn't the root, with ``$row`` if they are paged or ordered by the arguments.
 
@@ -50,14 +62,14 @@ def generated(q: Query, table: DataFrame, link: DataFrame | None, keys: DataFram
         rows = table
         parent = table[quote(q.link.fk if field else q.key_column)]
     if args and args.condition is not None:
-        rows = rows.where(args.condition.to_column(lambda n: table[quote(n)]))
+        rows = rows.where(args.condition.to_column(own_column(q.view.name, table)))
     columns = [aliased(c, table, link) for c in q.columns if c.role != "computed"]
     columns += [F.lit(None).cast("string").alias(c.alias) for c in q.columns if c.role == "computed"]
     if field:
         rows = rows.where(parent.isNotNull())
     terms = order_terms(q, args)
     if field and terms is not None:
-        window = Window.partitionBy(parent).orderBy(*[ordered(table[quote(c)], d) for c, d in terms])
+        window = Window.partitionBy(parent).orderBy(*[ordered(own_column(q.view.name, table)(c), d) for c, d in terms])
         columns.append(F.row_number().over(window).alias("$row"))
     if keys is not None:
         k = keys.select(F.col("key").alias("shapeframe_parent_key"))

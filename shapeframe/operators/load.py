@@ -19,7 +19,7 @@ from ..plans.sqltext import parameters, quote
 from ..shapes import Child, View
 from ..sources.tables import Tables
 from .decode import Decoder, Record, to_json
-from .flat import aliased, column, ordered, resolver
+from .flat import aliased, column, ordered, own_column, resolver
 from .nest import VALUE, Context, nest, query_rows
 
 log = logging.getLogger("shapeframe")
@@ -126,9 +126,9 @@ class Load:
             if bad := [c.alias for c in q.columns if c.role == "computed" and not c.type.nullable]:
                 raise ParamsError(self.view.name, bad[0], "a computed field needs SQL that selects it")
             table = self.tables.table(self.view.table)
-            resolve: Callable[[str], Column] = lambda n: table[quote(n)]
+            resolve = own_column(self.view.name, table)
             rows = self._restrict(q, table, resolve, table[quote(self.view.key)])
-            sorts = [table[quote(c)].alias(f"$order.{i}") for i, (c, _) in enumerate(self.order)]
+            sorts = [resolve(c).alias(f"$order.{i}") for i, (c, _) in enumerate(self.order)]
             return rows.select(*sorts, *[aliased(c, table, None) for c in q.columns if c.role != "computed"], *[F.lit(None).cast("string").alias(c.alias) for c in q.columns if c.role == "computed"])
         takes = parameters(text)[1]
         if takes and self.keys is None:

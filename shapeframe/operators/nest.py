@@ -169,6 +169,8 @@ def collect(target: Query, child: DataFrame, at: Child) -> DataFrame:
                 order.append(column(alias).isNull().alias(f"n{i}"))
             order.append(column(alias).alias(f"p{i}"))
     kind = child.schema[VALUE].dataType
+    if not at.index and "$row" not in child.columns and _comparable(kind) and _leads(target, kind):
+        return child.groupBy(column("$parent")).agg(F.sort_array(F.collect_list(value)).alias("$items"))
     struct = F.struct(*order, value.alias("v"))
     items = F.collect_list(struct)
     # Sorting structs compares the value only after equal orders; a map can't be compared, so it is left out of the struct.
@@ -187,6 +189,14 @@ def collect(target: Query, child: DataFrame, at: Child) -> DataFrame:
     return out.drop("$all")
 
 
+def _leads(target: Query, kind: T.StructType) -> bool:
+    """Whether the values' own first fields are their order, so that they sort as they are."""
+    terms = target.order()
+    aliases = [target.alias_of(c) for c, _ in terms]
+    known = {c.alias: c.type for c in target.columns if c.type is not None and not c.type.nullable}
+    return not any(d for _, d in terms) and all(a in known for a in aliases) and kind.names[: len(terms)] == aliases
+
+
 def _comparable(kind: T.DataType) -> bool:
     if isinstance(kind, T.MapType):
         return False
