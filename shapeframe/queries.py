@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -101,7 +102,6 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
         orders_f=lambda: read("orders").where("o_orderstatus = 'F'"),
         orders_o=lambda: read("orders").where("o_orderstatus = 'O'"),
         part_ring=lambda: read("part").crossJoin(read("part").agg(F.max("p_partkey").alias("last"))).selectExpr("p_partkey AS id", "CASE WHEN p_partkey = 0 THEN last ELSE p_partkey div 4 END AS next_id"),
-        ring=lambda: spark.sql("SELECT * FROM VALUES (1, 2), (2, 3), (3, 1), (4, 1), (5, 4) AS ring(id, next_id)"),
     )
 
 
@@ -300,14 +300,8 @@ def computed_report(t):
     return _report(Revenue, t).frame().withColumn("revenue", F.round("revenue", 2))
 
 
-@query(f"SELECT id, n_orders FROM ({_REPORT_SQL}) WHERE n_orders >= 2 AND id IN (SELECT c_custkey FROM customer WHERE c_custkey < 500) ORDER BY n_orders DESC, id LIMIT 30")
-def report_wrapped(t):
-    return _report(Revenue, t).filter(col("n_orders").ge(2) & col("c_custkey").lt(500)).order_by_desc("n_orders").limit(30).frame().select("id", "n_orders")
-
-
 @query(f"SELECT id, n_orders FROM ({_REPORT_SQL}) WHERE n_orders >= 2 ORDER BY n_orders DESC, id LIMIT 30")
-def report_wrapped_all(t):
-    """report_wrapped without its cut of ids."""
+def report_wrapped(t):
     return _report(Revenue, t).filter(col("n_orders").ge(2)).order_by_desc("n_orders").limit(30).frame().select("id", "n_orders")
 
 
@@ -344,22 +338,40 @@ def union_table_per_variant(t):
 _TREE = "WITH RECURSIVE t AS (SELECT p_partkey AS id, CASE WHEN p_partkey = 0 THEN NULL ELSE p_partkey // 4 END AS parent_id, p_name AS name FROM part)"
 
 
-@query(f"{_TREE} SELECT a.id, b.id AS child, c.id AS grandchild FROM t a JOIN t b ON b.parent_id = a.id LEFT JOIN t c ON c.parent_id = b.id WHERE a.id < 50")
+@query(f"{_TREE} SELECT a.id, b.id AS child, c.id AS grandchild FROM t a JOIN t b ON b.parent_id = a.id LEFT JOIN t c ON c.parent_id = b.id")
 def tree_depth(t):
-    r = load(tree(2), t).filter(col("id").lt(50)).frame().select("id", F.explode("children").alias("b"))
+    r = load(tree(2), t).frame().select("id", F.explode("children").alias("b"))
     return r.select("id", F.col("b.id").alias("child"), F.explode_outer("b.children").alias("c")).select("id", "child", F.col("c.id").alias("grandchild"))
 
 
-@query(f"{_TREE} SELECT a.id, b.id AS child, c.id AS grandchild FROM t a JOIN t b ON b.parent_id = a.id LEFT JOIN t c ON c.parent_id = b.id")
-def tree_depth_all(t):
-    """tree_depth without its cut of ids: every part is a root."""
-    r = load(tree(2), t).frame().select("id", F.explode("children").alias("b"))
-    return r.select("id", F.col("b.id").alias("child"), F.explode_outer("b.children").alias("c")).select("id", "child", F.col("c.id").alias("grandchild"))
+_BELOW = "r AS (SELECT id, parent_id, name, 1 AS level FROM t WHERE parent_id IN (SELECT id FROM t WHERE parent_id IS NULL) UNION ALL SELECT t.id, t.parent_id, t.name, level + 1 FROM t JOIN r ON t.parent_id = r.id)"
 
 
-@query(f"{_TREE}, r AS (SELECT id, parent_id, name FROM t WHERE parent_id = 1 UNION SELECT t.id, t.parent_id, t.name FROM t JOIN r ON t.parent_id = r.id) SELECT parent_id AS \"$parent\", id, name FROM r")
+@query(f'{_TREE}, {_BELOW} SELECT parent_id AS "$parent", id, name FROM r')
 def tree_closure(t):
-    return load(tree(None), t).by_key(1).levels("children")
+    """All levels below the parts without a parent: every other part."""
+    return load(tree(None), t).filter(col("parent_id").is_null()).levels("children")
+
+
+@query(f'{_TREE}, {_BELOW} SELECT parent_id AS "$parent", id, name FROM r WHERE level <= 3')
+def tree_closure_depth(t):
+    """Three levels of the same."""
+    three = View("Node", "part_tree", {"id": Column(BIGINT), "name": Column(STRING), "children": Child("self", "parent_id", depth=3, recursive=True)})
+    return load(three, t).filter(col("parent_id").is_null()).levels("children")
+
+
+@query(f"{_TREE} SELECT DISTINCT p.id, p.parent_id FROM t JOIN t p ON p.id = t.parent_id")
+def chain_closure(t):
+    """All parts above any part, by references followed to their end."""
+    up = View("Node", "part_tree", {"id": Column(BIGINT), "parent": ToOne("self", "parent_id", optional=True, recursive=True)})
+    return load(up, t).levels("parent").select("id", F.col("`$ref.parent`").alias("parent_id"))
+
+
+@query(f"{_TREE}, n AS (SELECT id, parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY id DESC) AS k FROM t) SELECT a.id, b.id AS child, c.id AS grandchild FROM t a JOIN n b ON b.parent_id = a.id AND b.k <= 2 LEFT JOIN n c ON c.parent_id = b.id AND c.k <= 2")
+def tree_depth_paged(t):
+    """Arguments of a recursive collection hold at every level: the last two children."""
+    r = load(tree(2), t).nested("children", Nested().order_by_desc("id").limit(2)).frame().select("id", F.explode("children").alias("b"))
+    return r.select("id", F.col("b.id").alias("child"), F.explode_outer("b.children").alias("c")).select("id", "child", F.col("c.id").alias("grandchild"))
 
 
 @query(f"{_TREE} SELECT a.id, b.id AS one, c.id AS two, d.id AS three FROM t a LEFT JOIN t b ON b.id = a.parent_id LEFT JOIN t c ON c.id = b.parent_id LEFT JOIN t d ON d.id = c.parent_id")
@@ -368,34 +380,20 @@ def chain_up(t):
     return f.select("id", F.col("parent.id").alias("one"), F.col("parent.parent.id").alias("two"), F.col("parent.parent.parent.id").alias("three"))
 
 
-@query(f"{_TREE} SELECT a.id, b.id AS odd, c.id AS even FROM t a JOIN t b ON b.parent_id = a.id JOIN t c ON c.parent_id = b.id WHERE a.id < 20")
-def mutual_recursion(t):
-    r = load(Even, t).filter(col("id").lt(20)).frame().select("id", F.explode("odds").alias("b"))
-    return r.select("id", F.col("b.id").alias("odd"), F.explode("b.evens").alias("c")).select("id", "odd", F.col("c.id").alias("even"))
-
-
 @query(f"{_TREE} SELECT a.id, b.id AS odd, c.id AS even FROM t a JOIN t b ON b.parent_id = a.id JOIN t c ON c.parent_id = b.id")
-def mutual_recursion_all(t):
-    """mutual_recursion without its cut of ids: every part is a root."""
+def mutual_recursion(t):
     r = load(Even, t).frame().select("id", F.explode("odds").alias("b"))
     return r.select("id", F.col("b.id").alias("odd"), F.explode("b.evens").alias("c")).select("id", "odd", F.col("c.id").alias("even"))
 
 
-@query("SELECT unnest([1, 2, 3])::INTEGER AS k")
-def cycle_detected(t):
-    return cycle_members(t.table("ring"), "id", "next_id")
-
-
 @query("WITH RECURSIVE c AS (SELECT max(p_partkey) AS k FROM part UNION SELECT k // 4 FROM c WHERE k > 0) SELECT k FROM c")
-def cycle_in_tree(t):
+def cycle_detected(t):
     """The tree of all parts, of which the first has the last as its parent: one cycle, many branches."""
     return cycle_members(t.table("part_ring"), "id", "next_id")
 
 
 # Graphs -------------------------------------------------------------------------------------------------------------
 
-_GRAPH = "WITH o AS (SELECT o_orderkey AS id, o_custkey FROM orders WHERE o_custkey IN (1, 2)), p AS (SELECT DISTINCT l_partkey AS id FROM lineitem JOIN o ON l_orderkey = o.id), c AS (SELECT c_custkey AS id, c_nationkey AS nation FROM customer WHERE c_custkey IN (1, 2))"
-
 
 def _vertices(roots: Load) -> DataFrame:
     _, seen, _, _ = reach(roots)
@@ -415,26 +413,30 @@ def _edges(roots: Load) -> DataFrame:
     return out
 
 
-@query(f"{_GRAPH} SELECT 'Customer' AS view, id FROM c UNION ALL SELECT 'Order', id FROM o UNION ALL SELECT 'Part', id FROM p UNION ALL SELECT DISTINCT 'Nation', nation FROM c")
+@query("SELECT 'Customer' AS view, c_custkey AS id FROM customer UNION ALL SELECT 'Order', o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey UNION ALL SELECT DISTINCT 'Part', l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey UNION ALL SELECT DISTINCT 'Nation', c_nationkey FROM customer")
 def graph_component(t):
-    return _vertices(load(GraphCustomer, t).by_keys([1, 2]))
+    return _vertices(load(GraphCustomer, t))
 
 
-@query(f"{_GRAPH} SELECT 'Customer.orders' AS edge, o_custkey AS a, id AS b FROM o UNION ALL SELECT 'Order.customer', id, o_custkey FROM o UNION ALL SELECT 'Order.parts', l_orderkey, l_partkey FROM lineitem JOIN o ON l_orderkey = o.id UNION ALL SELECT 'Customer.nation', id, nation FROM c")
+@query("WITH o AS (SELECT o_orderkey AS id, o_custkey FROM orders JOIN customer ON c_custkey = o_custkey) SELECT 'Customer.orders' AS edge, o_custkey AS a, id AS b FROM o UNION ALL SELECT 'Order.customer', id, o_custkey FROM o UNION ALL SELECT 'Order.parts', l_orderkey, l_partkey FROM lineitem JOIN o ON l_orderkey = o.id UNION ALL SELECT 'Customer.nation', c_custkey, c_nationkey FROM customer")
 def graph_edges(t):
-    return _edges(load(GraphCustomer, t).by_keys([1, 2]))
+    return _edges(load(GraphCustomer, t))
 
 
-@query("SELECT 'Customer' AS view, c_custkey AS id FROM customer UNION ALL SELECT 'Order', o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey UNION ALL SELECT DISTINCT 'Part', l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey UNION ALL SELECT DISTINCT 'Nation', c_nationkey FROM customer")
-def graph_component_all(t):
-    """graph_component from all customers."""
-    return _vertices(load(GraphCustomer, t))
+# Order, filters -----------------------------------------------------------------------------------------------------
 
+EventRow = View("EventRow", "event_rows", {"id": Column(BIGINT, "event_id"), "amount": Column(optional(FLOAT))}, key="event_id")
+
+
+@query("WITH e AS (SELECT event_id AS id, CASE WHEN event_type = 'purchase' OR event_id % 50 = 0 THEN value END AS amount FROM events) (SELECT 'up' AS way, * FROM e ORDER BY amount ASC NULLS LAST, id LIMIT 25) UNION ALL (SELECT 'down', * FROM e ORDER BY amount DESC NULLS FIRST, id LIMIT 25)")
+def order_nulls(t):
+    up, down = load(EventRow, t).order_by("amount").limit(25), load(EventRow, t).order_by_desc("amount").limit(25)
+    return up.frame().select(F.lit("up").alias("way"), "*").unionByName(down.frame().select(F.lit("down").alias("way"), "*"))
 
-@query("WITH o AS (SELECT o_orderkey AS id, o_custkey FROM orders JOIN customer ON c_custkey = o_custkey) SELECT 'Customer.orders' AS edge, o_custkey AS a, id AS b FROM o UNION ALL SELECT 'Order.customer', id, o_custkey FROM o UNION ALL SELECT 'Order.parts', l_orderkey, l_partkey FROM lineitem JOIN o ON l_orderkey = o.id UNION ALL SELECT 'Customer.nation', c_custkey, c_nationkey FROM customer")
-def graph_edges_all(t):
-    """graph_edges from all customers."""
-    return _edges(load(GraphCustomer, t))
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_acctbal > 1000 AND c_mktsegment = 'BUILDING' AND c_custkey % 2 IN (0, 1)")
+def filter_repeated(t):
+    return load(Customer, t).filter(col("c_acctbal").gt(1000.0)).filter(col("c_mktsegment").eq("BUILDING")).frame().select("id")
 
 
 # JSON, selections, GraphQL ------------------------------------------------------------------------------------------
@@ -450,6 +452,12 @@ def json_scalars(t):
     return load(NationUp, t).frame().select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
+@query("""SELECT '{"id":' || n_nationkey || ',"name":"' || n_name || '","region":{"id":' || r_regionkey || ',"name":"' || r_name || '"}}' AS json FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def json_load(t):
+    """The same through the JSON that a load gives to Python, one nation with its region each."""
+    return t.spark.createDataFrame([(json.dumps(v, separators=(",", ":")),) for v in load(NationUp, t).json()], "json string")
+
+
 @query("SELECT c_custkey AS id, c_name AS name, (SELECT count(*) FROM (SELECT 1 FROM orders WHERE o_custkey = c_custkey LIMIT 2)) AS n FROM customer WHERE c_acctbal >= 9000 ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
 def graphql_list(t):
     text = "query($min: Float = 1.0) { customers(where: {balance: {ge: $min}}, orderBy: [{balance: DESC}], limit: 10) { id ...N orders(limit: 2) { id } } } fragment N on Customer { name }"
@@ -466,6 +474,12 @@ def stream_equals_all(t):
     return t.spark.createDataFrame([(c.id, len(c.orders)) for c in s], "id long, n long")
 
 
+@query("SELECT n_nationkey AS id, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n FROM nation")
+def json_stream_equals_all(t):
+    view = View("Nation", "nation", {"id": Column(INT, "n_nationkey"), "suppliers": Child(Supplier, "s_nationkey")}, key="n_nationkey")
+    return t.spark.createDataFrame([(n["id"], len(n["suppliers"])) for n in load(view, t).batch_size(7).json_stream()], "id int, n long")
+
+
 @query("SELECT event_type, count(*) AS count FROM events GROUP BY event_type")
 def micro_batches(t):
     """Events as a stream of files, each micro-batch aggregated and appended to a table."""
@@ -482,14 +496,8 @@ def micro_batches(t):
 _OVERRIDE = 'SELECT o_custkey AS `$parent`, o_orderkey AS id, o_totalprice AS total, o_orderstatus AS status, o_orderdate AS date FROM orders WHERE o_custkey IN (:keys) AND {}'
 
 
-@query("SELECT o_custkey AS customer, o_orderkey AS id FROM orders WHERE o_totalprice > 1000 AND o_custkey < 100")
-def override_child(t):
-    r = Registry.builder().register(CustomerOrders).overrides("Customer", f'[query.orders]\nsql = "{_OVERRIDE.format("o_totalprice > 1000")}"').build(t)
-    return r.load(CustomerOrders).filter(col("c_custkey").lt(100)).frame().select(F.col("id").alias("customer"), F.explode("orders").alias("o")).select("customer", "o.id")
-
-
 @query("SELECT o_custkey AS customer, o_orderkey AS id FROM orders WHERE o_totalprice > 1000")
-def override_child_all(t):
+def override_child(t):
     """override_child without its cut of ids: the override's rows of every customer."""
     r = Registry.builder().register(CustomerOrders).overrides("Customer", f'[query.orders]\nsql = "{_OVERRIDE.format("o_totalprice > 1000")}"').build(t)
     return r.load(CustomerOrders).frame().select(F.col("id").alias("customer"), F.explode("orders").alias("o")).select("customer", "o.id")

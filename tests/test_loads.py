@@ -520,3 +520,42 @@ def test_save_frame_refuses_what_it_does_not_write(spark, tmp_path):
     with pytest.raises(WriteError):
         save_frame(s, wrong, spark.createDataFrame([(1, "x")], "id long, more string"))
     assert s.version() == 1
+
+
+def test_closure_plan_does_not_grow(spark):
+    """A chain of 40 levels: each level's plan is the same, and a depth ends it."""
+    table = spark.range(41).selectExpr("CASE WHEN id >= 0 THEN id END AS id", "CASE WHEN id = 0 THEN NULL ELSE id - 1 END AS parent_id")
+    for depth, rows in ((None, 40), (3, 3)):
+        view = View("Node", "chain", {"id": Column(BIGINT), "below": Child("self", "parent_id", depth=depth, recursive=True)})
+        load = Load(view, Tables(spark, {"chain": table})).by_key(0)
+        levels = load.levels("below")
+        assert levels.count() == rows and len(levels._jdf.queryExecution().optimizedPlan().toString()) < 5000
+        value, deep = load.one(), 0
+        while value.below:
+            value, deep = value.below[0], deep + 1
+        assert deep == rows
+    every = Load(view, Tables(spark, {"chain": table})).all()
+    assert [len(every[0].below), len(every[0].below[0].below[0].below), every[0].below[0].below[0].below[0].below] == [1, 1, []]
+
+
+def test_user_sql_in_threads(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    spark.range(3).createOrReplaceTempView("thing")
+    t = Tables(spark, {"thing": spark.range(100).withColumnRenamed("id", "k")})
+
+    def one(i):
+        keys = spark.createDataFrame([(i,)], "key long")
+        return [r.k for r in t.sql("SELECT k FROM thing WHERE k IN (:keys)", keys=keys).collect()]
+
+    with ThreadPoolExecutor(8) as pool:
+        assert list(pool.map(one, range(24))) == [[i] for i in range(24)]
+    assert spark.table("thing").count() == 3
+    spark.catalog.dropTempView("thing")
+
+
+def test_unknown_columns(t):
+    with pytest.raises(ColumnNotSelected):
+        Load(Task, t).filter(col("nowhere").eq(1)).frame()
+    with pytest.raises(ColumnNotSelected):
+        Load(Task, t).order_by("nowhere").frame()
