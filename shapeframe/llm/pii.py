@@ -12,8 +12,8 @@ identifier cues. From an anchor, a deterministic local parser expands to the bou
 * login: user information before the host of an address (``scheme://user:secret@host``).
 
 Edge cases: null and empty texts have no spans (and the hash of the empty string); texts of any length are read whole,
-in one pass, and each parser is linear (it never goes back over what a class of characters took); cues fit in any casing of
-ASCII letters; ids are integers; repeated rows are treated alike; other columns are ignored.
+in one pass, and each parser is linear (it never goes back over what a class of characters took); cues fit in any
+casing; ids are integers; repeated rows are treated alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,7 +84,8 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     """(start, index of kind, end), sorted."""
     out: list[tuple[int, int, int]] = []
     email_end = ip_end = card_end = phone_end = secret_end = account_end = 0
-    for at, (anchor, n) in automaton().iter(text.translate(_LOWER)):
+    lower = text.lower()  # as long as the text, but for one letter whose lower case is two characters
+    for at, (anchor, n) in automaton().iter(lower if len(lower) == len(text) else text.translate(_LOWER)):
         if anchor == "digit":
             if at and text[at - 1] in _DIGITS:
                 continue
