@@ -55,7 +55,7 @@ class Load:
             return self._with(keys=keys.select(F.col(keys.columns[0]).alias("key")).where("key IS NOT NULL").distinct())
         both = [*(self.keys if isinstance(self.keys, list) else []), *keys]
         if len({"int" if isinstance(k, int) and not isinstance(k, bool) else type(k).__name__ for k in both}) > 1:
-            raise MixedKeys(self.view.name, "", "the keys to load have different types")
+            raise MixedKeys(self.view.name, "", "keys of one load must be all integers or all strings")
         return self._with(keys=both)
 
     def filter(self, condition: Condition) -> Load:
@@ -221,7 +221,7 @@ class Load:
     def all(self) -> list[Record]:
         self._no_graph()
         if self.selection is not None:
-            raise SelectionWithoutJson(self.view.name, "", "a load with a selection returns JSON")
+            raise SelectionWithoutJson(self.view.name, "", "a selection leaves fields out, so only json() and frame() can give it")
         if isinstance(self.keys, list) and not self.keys:
             return []
         return [v for _, v in self._values()]

@@ -109,7 +109,7 @@ def selected(fields: dict[str, Field], selection: Selection | None, where: str)
         return {f: None for f, x in fields.items() if isinstance(x, (Column, Embed))}
     for n in names:
         if n not in fields:
-            raise PlanError(where, n, "the view has no such field")
+            raise PlanError(where, n, f"{n} is not a field here")
         if isinstance(fields[n], Column) and not selection.get(n).is_empty():
             raise PlanError(where, n, "a column has no fields")
     return {f: None if isinstance(x, (Column, Embed)) else selection.get(f) for f, x in fields.items() if f in names}

@@ -100,9 +100,9 @@ def explain(q: Query, overrides: dict | None = None, depth: int = 0) -> str:
         lines.append(f"{pad}  {render(q)}")
     for path, child in q.children.items():
         if child is None:
-            lines.append(f"{pad}  {path}: all levels in this query")
+            lines.append(f"{pad}  {path}: rows of every level, found by the closure above")
         elif isinstance(child, Repeat):
-            lines.append(f"{pad}  {path}: repeats the query {child.up} level(s) up, at most {child.depth} levels")
+            lines.append(f"{pad}  {path}: unrolled from the query {child.up} above, to depth {child.depth}")
         else:
             lines.append(explain(child, overrides, depth + 1))
     return "\n".join(lines)

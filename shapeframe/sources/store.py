@@ -218,7 +218,7 @@ class Write:
                     row[x.fk] = self.graph_keys[value[f]]
                     continue
                 if x.graph and value.get(f) is not None and not isinstance(value.get(f), (int, str)):
-                    raise WriteError(view.name, f, "a value with references into a graph is saved with its graph")
+                    raise WriteError(view.name, f, "the field points into a graph: use save_graph")
                 if f in value:
                     target, got = view.target(x), value[f]
                     key_of = got if got is None or isinstance(got, (int, str)) else got.get(target.key_field)
@@ -269,7 +269,7 @@ class Write:
             self.nulls.setdefault(target.table, []).append((x.fk, target.key, [key], keys))
             return
         if x.graph:
-            raise WriteError(view.name, f, "a value with references into a graph is saved with its graph")
+            raise WriteError(view.name, f, "the field points into a graph: use save_graph")
         items = list(got.items()) if x.key else list(enumerate(got))
         if x.through:
             self._links(view, f, x, key, [e if isinstance(e, (int, str)) else e.get(target.key_field) for _, e in items])
@@ -434,7 +434,7 @@ class Write:
             found = {r[0]: r[1] for r in among(t, view.key, [k for k, _, _ in mine]).select(quote(view.key), quote(column)).collect()}
             for k, v, insert in mine:
                 if (k in found and found[k] != v) or (k not in found and not insert):
-                    raise Conflict(view.name, "", f"the row with key {k} was changed or deleted since it was loaded")
+                    raise Conflict(view.name, "", f"the row with key {k} has another version in the store than the value, or is gone")
 
 
 def _owns(view: View) -> bool:

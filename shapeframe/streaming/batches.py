@@ -44,7 +44,7 @@ def _batches(load: Any) -> Iterator[list[Record]]:
 
 def stream(load: Any) -> Iterator[Record]:
     if load.selection is not None:
-        raise SelectionWithoutJson(load.view.name, "", "a load with a selection returns JSON")
+        raise SelectionWithoutJson(load.view.name, "", "a selection leaves fields out, so only json() and frame() can give it")
     if load.view.has_graph_edges():
         raise GraphRequired(load.view.name, "", "a view with references into a graph isn't streamed")
     return (v for batch in _batches(load) for v in batch)

@@ -66,8 +66,8 @@ def test_recursion_needs_a_depth():
     with pytest.raises(PlanError):
         plan(a)
     text = explain(plan(view(x=Child("self", "f", depth=3))))
-    assert "repeats the query 0 level(s) up, at most 3 levels" in text
-    assert "all levels in this query" in explain(plan(view(x=Child("self", "f", recursive=True))))
+    assert "unrolled from the query 0 above, to depth 3" in text
+    assert "rows of every level, found by the closure above" in explain(plan(view(x=Child("self", "f", recursive=True))))
 
 
 def test_selection():
