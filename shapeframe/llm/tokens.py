@@ -7,10 +7,17 @@ texts can induce (the transition monoid) are enumerated at compile time, so a ch
 elements of a batch's chunks compose by a parallel prefix scan, which gives every chunk its entry state, and all
 chunks then run side by side.
 
-Tokens. Inside a pre-token the merges are compiled lazily: a pre-token is a path whose last transition is annotated
-with the number of emitted tokens. Annotations come from running the merges for all new paths of a batch together and
-are kept, up to ``MAX_PATHS`` per worker (then the table starts anew: a bound on memory, not on results). A byte-level
-machine for all 50,000 merges at once would not be small; this one holds what the texts use.
+Tokens. A second transducer reads the bytes of a pre-token; each transition carries the change of the number of emitted
+tokens. Encoding a prefix of a pre-token ends in exactly one token t, before which the shorter prefix is encoded as if it
+stood alone; t is the one token that ends there and that no merge joins to the last token of that shorter prefix. So a
+state need only hold, for each earlier place whose following bytes still begin some token: the node of the vocabulary's
+trie, the last token before that place and the count there, relative to the count now. That is a finite machine, for no
+token is longer than the longest; states and transitions are compiled when a text first takes them, and kept up to
+``MAX_MOVES`` a worker (then the machine starts anew: a bound on memory, not on results).
+
+A pre-token always enters at the fresh state, so all pre-tokens of a slice run side by side. A pre-token of more than
+``LONG`` bytes is cut into chunks, whose maps (entry state to exit state and count) compose from left to right; a map
+is evaluated only at the states that occur, first at the state that the chunk before it would leave if it were fresh.
 
 The added token's string is one token wherever it stands, as the library's default has it, and splits the text.
 
@@ -20,7 +27,6 @@ are counted alike; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,8 +47,9 @@ LETTER, NUMBER, OTHER, INNER, SPACE, BREAK, END2, END3, START = range(9)
 #: States: fresh, in letters, in numbers, in others, in white space, after a joining space, one and two characters
 #: left of an ending.
 FRESH, LETTERS, NUMBERS, OTHERS, WHITE, JOIN, LEFT1, LEFT2 = range(8)
-MAX_PATHS = 2_000_000
+MAX_MOVES = 400_000
 LANE = 128
+LONG, WARM, SLICE = 512, 64, 1 << 18
 _SENTINEL = 0x110000
 
 
@@ -144,7 +151,7 @@ def beginnings(points: np.ndarray) -> np.ndarray:
 
 
 class Merges:
-    """The vocabulary's merges, run for many byte strings side by side."""
+    """The vocabulary's merges, for short byte strings."""
 
     def __init__(self, vocabulary: dict):
         model, self.added = vocabulary["model"], [t["content"] for t in vocabulary["added_tokens"]]
@@ -152,119 +159,204 @@ class Merges:
         # The byte alphabet of byte-level vocabularies: printable bytes stand for themselves, the rest follow from U+0100.
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         letters = {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(x for x in range(256) if x not in set(printable))}
-        self.bytes = np.array([ids[letters[b]] for b in range(256)], np.int64)
+        self.bytes = [ids[letters[b]] for b in range(256)]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        keys = np.array([ids[a] << 20 | ids[b] for a, b in pairs], np.int64)
-        made = np.array([ids[a + b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
-        self.by_pair = {int(k): (r, int(m)) for r, (k, m) in enumerate(zip(keys, made, strict=True))}
-
-    def counts(self, tokens: np.ndarray) -> np.ndarray:
-        """Tokens left of each row of equally many bytes: at each step every row merges its leftmost lowest-ranked pair."""
-        out = np.full(len(tokens), tokens.shape[1], np.int64)
-        rows, tokens = np.arange(len(tokens)), self.bytes[tokens]
-        while len(rows) and tokens.shape[1] > 1:
-            keys = tokens[:, :-1] << 20 | tokens[:, 1:]
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            rank = np.where(self.keys[at] == keys, self.ranks[at], 1 << 40)
-            best = rank.argmin(1)
-            alive = rank[np.arange(len(rows)), best] < 1 << 40
-            out[rows] = tokens.shape[1]
-            rows, tokens, best, at = rows[alive], tokens[alive], best[alive], at[alive]
-            line = np.arange(len(rows))
-            merged = self.made[at[line, best]]
-            keep = np.arange(tokens.shape[1] - 1)[None, :]
-            tokens = np.take_along_axis(tokens, keep + (keep > best[:, None]), 1)
-            tokens[line, best] = merged
-            out[rows] = tokens.shape[1]
-        return out
-
-    def count_long(self, data: bytes) -> int:
-        """The same for one long byte string, with a heap of pairs."""
-        tokens = [int(self.bytes[b]) for b in data]
-        n = len(tokens)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            if 0 <= i and after[i] < n and (m := self.by_pair.get(tokens[i] << 20 | tokens[after[i]])):
-                heapq.heappush(heap, (m[0], i, tokens[i], tokens[after[i]]))
-
-        for i in range(n - 1):
-            offer(i)
-        left = n
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            if tokens[i] != a or after[i] >= n or tokens[after[i]] != b:
-                continue
-            gone = after[i]
-            tokens[i], tokens[gone] = self.by_pair[a << 20 | b][1], -1
-            after[i] = after[gone]
-            if after[i] < n:
-                before[after[i]] = i
-            left -= 1
-            offer(before[i])
-            offer(i)
-        return left
+        self.by_pair = {(ids[a], ids[b]): (r, ids[a + b]) for r, (a, b) in enumerate(pairs)}
+        back = {c: b for b, c in letters.items()}
+        made = {t for _, t in self.by_pair.values()} | set(self.bytes)
+        self.spelled = {i: bytes(back[c] for c in t) for t, i in ids.items() if i in made}
+
+    def encode(self, data: bytes) -> list[int]:
+        """Tokens of a byte string: the leftmost pair of lowest rank is merged until none is left."""
+        tokens = [self.bytes[b] for b in data]
+        while len(tokens) > 1:
+            found = [(m[0], i, m[1]) for i, pair in enumerate(zip(tokens, tokens[1:], strict=False)) if (m := self.by_pair.get(pair))]
+            if not found:
+                break
+            _, i, token = min(found)
+            tokens[i : i + 2] = [token]
+        return tokens
+
+
+class Moves:
+    """(state, byte) -> (next state, count), as a hash table that whole arrays of keys are looked up in."""
+
+    def __init__(self) -> None:
+        self.size = 0
+        self.keys, self.values = np.full(1 << 16, -1, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (arrays.mix(keys.astype(np.uint64)) & np.uint64(len(self.keys) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of keys, and which keys are missing (by position)."""
+        slot = self._home(keys)
+        there = self.keys[slot]
+        other = np.flatnonzero((there != keys) & (there >= 0))
+        while len(other):
+            slot[other] = (slot[other] + 1) & (len(self.keys) - 1)
+            there[other] = self.keys[slot[other]]
+            other = other[(there[other] != keys[other]) & (there[other] >= 0)]
+        return self.values[slot], np.flatnonzero(there < 0)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds distinct new keys."""
+        self.size += len(keys)
+        if self.size * 2 > len(self.keys):
+            used = self.keys >= 0
+            keys, values = np.concatenate([self.keys[used], keys]), np.concatenate([self.values[used], values])
+            room = 1 << (4 * self.size - 1).bit_length()
+            self.keys, self.values = np.full(room, -1, np.int64), np.zeros(room, np.int64)
+        slot, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            at = slot[left]
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]
+            won = self.keys[at] == keys[left]
+            self.values[at[won]] = values[left[won]]
+            left = left[~won]
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+
+
+class Transducer:
+    """The machine over the bytes of a pre-token. State 0 is fresh; a value is next state << 16 | count + 2^15."""
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        self.child: dict[int, int] = {}
+        self.token: list[int] = [-1]
+        for token, spelled in merges.spelled.items():
+            node = 0
+            for byte in spelled:
+                key = node << 8 | byte
+                node = self.child.setdefault(key, len(self.token))
+                if node == len(self.token):
+                    self.token.append(-1)
+            self.token[node] = token
+        self.inner = {key >> 8 for key in self.child}
+        self.restart()
+
+    def restart(self) -> None:
+        fresh = ((0, -1, 0),)
+        self.states, self.numbers, self.moves = [fresh], {fresh: 0}, Moves()
+        self.apart: dict[tuple[int, int], bool] = {}
+
+    def stay_apart(self, last: int, token: int) -> bool:
+        """Whether the two tokens, side by side, encode to themselves; last -1 is the pre-token's start."""
+        known = self.apart.get((last, token))
+        if known is None:
+            spelled = self.merges.spelled
+            both = [token] if last < 0 else [last, token]
+            known = self.apart[last, token] = self.merges.encode(b"".join(spelled[t] for t in both)) == both
+        return known
+
+    def step(self, state: int, byte: int) -> int:
+        """Compiles one transition."""
+        places = [(node, last, count) for at, last, count in self.states[state] if (node := self.child.get(at << 8 | byte)) is not None]
+        for node, last, count in places:
+            token = self.token[node]
+            if token >= 0 and self.stay_apart(last, token):
+                now = count + 1
+                break
+        else:
+            raise ValueError("the vocabulary's merges do not give each prefix a last token")
+        image = (*[(n, t, c - now) for n, t, c in places if n in self.inner], (0, token, 0))
+        to = self.numbers.setdefault(image, len(self.states))
+        if to == len(self.states):
+            self.states.append(image)
+        return to << 16 | now + 0x8000
+
+    def run(self, state: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit states and counts of segments of data that enter at the given states, all side by side."""
+        order = np.argsort(starts - ends, kind="stable")
+        state, at, falling = state[order], starts[order], (starts - ends)[order]
+        total = np.zeros(len(state), np.int64)
+        for k in range(-int(falling[0]) if len(falling) else 0):
+            n = int(np.searchsorted(falling, -k))
+            keys = state[:n] << 8 | data[at[:n] + k]
+            value, missing = self.moves.find(keys)
+            if len(missing):
+                new, inverse = np.unique(keys[missing], return_inverse=True)
+                made = np.array([self.step(int(key) >> 8, int(key) & 255) for key in new], np.int64)
+                self.moves.add(new, made)
+                value[missing] = made[inverse]
+            state[:n] = value >> 16
+            total[:n] += (value & 0xFFFF) - 0x8000
+        out, counts = np.empty_like(state), np.empty_like(total)
+        out[order], counts[order] = state, total
+        return out, counts
+
+    def run_long(self, data: np.ndarray, start: int, end: int) -> int:
+        """Tokens of one long pre-token, by the maps of its chunks."""
+        starts = np.arange(start, end, LONG)
+        ends = np.minimum(starts + LONG, end)
+        guess, _ = self.run(np.zeros(len(starts), np.int64), data, np.maximum(starts - WARM, start), starts)
+        maps: list[dict[int, tuple[int, int]]] = [{} for _ in starts]
+        need = list(enumerate(guess.tolist()))
+        while need:
+            which = np.array([i for i, _ in need])
+            out, counts = self.run(np.array([s for _, s in need], np.int64), data, starts[which], ends[which])
+            for (i, s), o, c in zip(need, out.tolist(), counts.tolist(), strict=True):
+                maps[i][s] = (o, c)
+            state, total, need = 0, 0, []
+            for i, known in enumerate(maps):
+                if state not in known:
+                    need.append((i, state))
+                    state = next(reversed(known.values()))[0]
+                else:
+                    state, count = known[state]
+                    total += count
+        return total
 
 
 class Counter:
-    """Counts tokens of texts; keeps the annotations of the paths it has seen."""
+    """Counts tokens of texts; keeps the transitions that texts have taken."""
 
     def __init__(self, vocabulary: dict):
         self.merges = Merges(vocabulary)
-        self.known, self.emits = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-
-    def annotate(self, hashes: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
-        hit = self.known[at] == distinct if len(self.known) else np.zeros(len(distinct), bool)
-        counts = np.zeros(len(distinct), np.int32)
-        counts[hit] = self.emits[at[hit]]
-        new = np.flatnonzero(~hit)
-        if len(new):
-            counts[new] = self.compile([points[starts[i] : ends[i]].astype("<u4").tobytes().decode("utf-32-le").encode() for i in first[new]])
-            base = (self.known, self.emits) if len(self.known) + len(new) <= MAX_PATHS else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
-            into = np.searchsorted(base[0], distinct[new])
-            self.known, self.emits = np.insert(base[0], into, distinct[new]), np.insert(base[1], into, counts[new])
-        return counts[inverse]
-
-    def compile(self, paths: list[bytes]) -> np.ndarray:
-        lengths = np.array([len(p) for p in paths])
-        out = np.zeros(len(paths), np.int32)
-        for n in np.unique(lengths):
-            rows = np.flatnonzero(lengths == n)
-            if n > 64:
-                out[rows] = [self.merges.count_long(paths[i]) for i in rows]
-            else:
-                out[rows] = self.merges.counts(np.frombuffer(b"".join(paths[i] for i in rows), np.uint8).reshape(len(rows), n))
+        self.transducer = Transducer(self.merges)
+
+    def emitted(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tokens of each pre-token of UTF-8 data, a slice at a time."""
+        out = np.zeros(len(starts), np.int64)
+        long = ends - starts > LONG
+        short = np.flatnonzero(~long)
+        slices = np.searchsorted(starts[short], np.arange(SLICE, len(data) + SLICE, SLICE)) if len(short) else []
+        for rows in [*np.split(short, slices), *np.flatnonzero(long)[:, None]]:
+            if self.transducer.moves.size > MAX_MOVES:
+                self.transducer.restart()
+            if len(rows) == 1 and long[rows[0]]:
+                out[rows] = self.transducer.run_long(data, int(starts[rows[0]]), int(ends[rows[0]]))
+            elif len(rows):
+                out[rows] = self.transducer.run(np.zeros(len(rows), np.int64), data, starts[rows], ends[rows])[1]
         return out
 
     def count(self, texts: list[str]) -> np.ndarray:
         mark, total = chr(0), np.zeros(len(texts), np.int64)
-        parts: list[np.ndarray] = []
+        parts: list[str] = []
         owner: list[int] = []
         for i, text in enumerate(texts):
             pieces = [text]
             for special in self.merges.added:
                 pieces = [p for piece in pieces for p in piece.split(special)]
             total[i] = len(pieces) - 1
-            for p in pieces:
-                if p:
-                    coded = np.frombuffer((mark + p).encode("utf-32-le"), "<u4").copy()
-                    coded[0] = _SENTINEL
-                    parts.append(coded)
-                    owner.append(i)
+            parts += [mark + p for p in pieces if p]
+            owner += [i for p in pieces if p]
         if not parts:
             return total
-        points = np.concatenate(parts)
+        whole = "".join(parts)
+        points = np.frombuffer(whole.encode("utf-32-le"), "<u4").copy()
+        data = np.frombuffer(whole.encode(), np.uint8)
+        at = np.cumsum([0, *map(len, parts)])
+        points[at[:-1]] = _SENTINEL
         starts = np.flatnonzero(beginnings(points))
-        ends = np.append(starts[1:], len(points))
+        width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        width[at[:-1]] = 1
+        offset = np.concatenate([[0], np.cumsum(width)])
+        ends = offset[np.append(starts[1:], len(points))]
         real = points[starts] != _SENTINEL
-        piece = np.cumsum(~real) - 1
-        starts, ends, piece = starts[real], ends[real], piece[real]
-        emitted = self.annotate(arrays.segment_hashes(points, starts, ends), points, starts, ends)
+        piece = (np.cumsum(~real) - 1)[real]
+        emitted = self.emitted(data, offset[starts][real], ends[real])
         return total + np.bincount(np.array(owner)[piece], emitted, minlength=len(texts)).astype(np.int64)
 
 

@@ -351,6 +351,35 @@ def test_token_counts(spark, docs, nothing, vocabulary):
     assert tokens.count_tokens(nothing, vocabulary).count() == 0
 
 
+def test_token_transducer_is_the_merges():
+    """Vocabularies of random merges, against merging from scratch; long pre-tokens, and a machine that starts anew."""
+    r = random.Random(66)
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    alphabet = [chr(b) for b in printable] + [chr(0x100 + i) for i in range(256 - len(printable))]
+    for _ in range(40):
+        ids, merges, known = {c: i for i, c in enumerate(alphabet)}, [], list("abc")
+        for _ in range(r.randint(1, 40)):
+            x, y = r.choice(known), r.choice(known)
+            if x + y not in ids and len(x + y) < 12:
+                ids[x + y] = len(ids)
+                merges.append(f"{x} {y}")
+                known.append(x + y)
+        counter = tokens.Counter({"model": {"vocab": ids, "merges": merges}, "added_tokens": []})
+        words = ["".join(r.choice("abc") for _ in range(r.randint(1, 60))) for _ in range(100)] + [x * 700 for x in ("a", "ab", "abc", "cab")]
+        words += ["".join(r.choice("abc") for _ in range(3000))]
+        assert counter.count(words).tolist() == [len(counter.merges.encode(w.encode())) for w in words]
+
+
+def test_token_transducer_starts_anew(vocabulary, monkeypatch):
+    with open(vocabulary, encoding="utf-8") as f:
+        vocabulary = json.load(f)
+    texts = [t or "" for _, t, _ in corpus(n=20)] + ["x" * 5000]
+    want = tokens.Counter(vocabulary).count(texts).tolist()
+    monkeypatch.setattr(tokens, "MAX_MOVES", 50)
+    monkeypatch.setattr(tokens, "SLICE", 100)
+    assert tokens.Counter(vocabulary).count(texts).tolist() == want
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
