@@ -11,7 +11,7 @@ that no global sort is needed; equal names are the same interval of the suffix a
 reach ``min_words``. In a run, each place opens the shortest window of enough words to its right, and closes the
 shortest to its left; together these windows cover exactly the lines of all repeated runs (see the tests, which
 compare with all runs). A window of m lines, 2^k <= m < 2^(k+1), is keyed by m and the level-k names at its two ends.
-Copies of one window meet in one pre-aggregated group; overlapping copies merge into intervals of lines.
+Copies of one window meet in one pre-aggregated group (a hot line's or window's rows are dealt to many tasks); overlapping copies merge into intervals of lines.
 
 Edge cases: null text gives null text and no lines; an empty text is one line without words; rows equal in id and
 text are one place and so not copies of each other (they are treated alike); null ids come last; other columns are
@@ -23,7 +23,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small, words
+from .common import Sieve, cut, fresh, small, words
+
+#: A key with more than one in HOT of all rows is hot (so fewer than HOT keys are); its rows are dealt to SALTS tasks.
+HOT, SALTS = 2_000, 64
+
+
+def _meet(rows: DataFrame, groups: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
+    """rows whose keys are in groups, with the groups' other columns but n; hot keys' rows are dealt by their place.
+
+    groups is materialised and has a row for each key, with its number of rows as n.
+    """
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT > total
+    names = [f"_g{i}" for i in range(len(keys))]
+    listed = groups.where(hot).select(*[F.col(k).alias(g) for k, g in zip(keys, names, strict=True)])
+    same = [F.col(k) == F.col(g) for k, g in zip(keys, names, strict=True)]
+    salt = F.when(F.col("_g0").isNotNull(), F.pmod(F.xxhash64(F.lit(9), *place), F.lit(SALTS))).otherwise(0).cast("int")
+    rows = rows.join(F.broadcast(listed), same, "left").withColumn("_salt", salt).drop(*names)
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(groups.withColumn("_salt", F.explode(salts)).drop("n"), [*keys, "_salt"]).drop("_salt")
 
 
 def _lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -34,9 +53,9 @@ def _lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_runs(documents: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The lines to delete: id, th (hash of text), cuts (array of (lo, hi), disjoint, 0-based, inclusive)."""
     lines = _lines(documents, id_col, text_col)
-    twice = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h1").alias("r1"), F.col("h2").alias("r2"))
+    twice = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     active = lines.select("id", "th", "ln", "h1", "h2", words(F.col("line")).alias("w"))
-    active = active.join(twice, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")), "left_semi").dropDuplicates(["id", "th", "ln"])
+    active = _meet(active, cut(twice), ["h1", "h2"], ["id", "th", "ln"]).dropDuplicates(["id", "th", "ln"])
     place = Window.partitionBy("id", "th").orderBy("ln")
     active = active.withColumn("run", F.col("ln") - F.row_number().over(place))
     run = Window.partitionBy("id", "th", "run")
@@ -74,8 +93,8 @@ def repeated_runs(documents: DataFrame, min_words: int = 50, id_col: str = "doc_
     key = F.struct("m", F.get(F.array(*[f"n{k}" for k in range(levels)]), level).alias("first"), F.get(F.array(*[f"b{k}" for k in range(levels)]), level).alias("last"))
     w = w.select("id", "th", "a", "e", F.xxhash64(F.lit(4), key).alias("k1"), F.xxhash64(F.lit(5), key).alias("k2"), F.struct(F.col("id").isNull().alias("nil"), "id", "th", "a").alias("at"))
     w = cut(w)
-    first = w.groupBy("k1", "k2").agg(F.min("at").alias("origin"), F.count("*").alias("n")).where("n > 1").select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), "origin")
-    copies = w.join(first, (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2"))).where(F.col("at") > F.col("origin"))
+    first = w.groupBy("k1", "k2").agg(F.min("at").alias("origin"), F.count("*").alias("n")).where("n > 1")
+    copies = _meet(w, cut(first), ["k1", "k2"], ["id", "th", "a"]).where(F.col("at") > F.col("origin"))
 
     # Union of the copies' intervals, by document.
     doc = Window.partitionBy("id", "th").orderBy("a", "e")
@@ -87,17 +106,29 @@ def repeated_runs(documents: DataFrame, min_words: int = 50, id_col: str = "doc_
 
 
 def dedup_documents(documents: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """documents, the text without copies, and _n_lines and _n_removed. Names that start with _cut are reserved."""
-    cuts = cut(repeated_runs(documents, min_words, id_col, text_col).select(F.col("id").alias("_cut_id"), F.col("th").alias("_cut_th"), F.col("cuts").alias("_cut_cuts")))
-    text = F.col(text_col)
-    d = documents.withColumn("_cut_hash", F.xxhash64(text))
-    d = d.join(small(cuts), (F.col("_cut_hash") == F.col("_cut_th")) & F.col(id_col).eqNullSafe(F.col("_cut_id")), "left")
-    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.exists(F.col("_cut_cuts"), lambda r: (i >= r["lo"]) & (i <= r["hi"])))
-    gone = F.aggregate(F.col("_cut_cuts"), F.lit(0).cast("long"), lambda n, r: n + (r["hi"] - r["lo"] + 1))
+    """documents, the text without copies, and _n_lines and _n_removed (which replace columns of these names).
+
+    With few cuts they are broadcast; else only documents that a Bloom filter doesn't tell from those with cuts are shuffled.
+    """
+    documents = documents.drop("_n_lines", "_n_removed")
+    h, i, x, y = (fresh(documents, n) for n in ("_cut_hash", "_cut_id", "_cut_cuts", "_cut_th"))
+    cuts = cut(repeated_runs(documents, min_words, id_col, text_col).select(F.col("id").alias(i), F.col("th").alias(y), F.col("cuts").alias(x)))
+    text, key = F.col(text_col), F.col(id_col)
+    d = documents.withColumn(h, F.xxhash64(text))
+    on = (F.col(h) == F.col(y)) & key.eqNullSafe(F.col(i))
+    listed = small(cuts)
+    if listed is cuts:
+        may = Sieve(cuts, i, y).may(key, F.col(h))
+        clear = d.where(~may).withColumns({c: F.lit(None).cast(cuts.schema[c].dataType) for c in (i, y, x)})
+        d = d.where(may).join(cuts, on, "left").unionByName(clear)
+    else:
+        d = d.join(listed, on, "left")
+    kept = F.filter(F.split(text, "\n", -1), lambda line, at: ~F.exists(F.col(x), lambda r: (at >= r["lo"]) & (at <= r["hi"])))
+    gone = F.aggregate(F.col(x), F.lit(0).cast("long"), lambda n, r: n + (r["hi"] - r["lo"] + 1))
     d = d.withColumn("_n_lines", F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long"))
     d = d.withColumn("_n_removed", F.coalesce(gone, F.lit(0)).cast("long"))
-    d = d.withColumn(text_col, F.when(F.col("_cut_cuts").isNull(), text).otherwise(F.array_join(kept, "\n")))
-    return d.drop("_cut_hash", "_cut_id", "_cut_th", "_cut_cuts")
+    d = d.withColumn(text_col, F.when(F.col(x).isNull(), text).otherwise(F.array_join(kept, "\n")))
+    return d.drop(h, i, x, y)
 
 
 #: All shortest windows by plain comparison of their lines.

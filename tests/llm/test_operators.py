@@ -555,6 +555,22 @@ def test_line_runs(spark, seed):
     assert got == {rows[i][0]: want[i] for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("rows, hot", [(0, 1), (0, 1_000_000), (400_000, 1_000_000)])
+def test_line_runs_hot_and_shuffled(spark, monkeypatch, rows, hot):
+    """No key or every key counts as hot, and cuts are broadcast or met behind a Bloom filter: the same result."""
+    monkeypatch.setattr(linededup, "HOT", hot)
+    monkeypatch.setattr(linededup, "small", lambda df: df if not rows else F.broadcast(df))
+    r = random.Random(8)
+    passage = "\n".join(" ".join(r.choice("abcdef") for _ in range(4)) for _ in range(3))
+    texts = [passage if r.random() < 0.6 else "\n".join(" ".join(r.choice("abcdef") for _ in range(5)) for _ in range(4)) for _ in range(60)]
+    found = [(i, t) for i, t in enumerate(texts)] + [(90, None), (91, "")]
+    want = without_copies(found, 9)
+    df = spark.createDataFrame(found, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_cut_hash", "_cut_id", "n", "_salt", "_n_lines")})
+    out = linededup.dedup_documents(df, 9)
+    assert out.columns == [*df.columns[:-1], "_n_lines", "_n_removed"]
+    assert {x.doc_id: (x.text, x._n_removed) for x in out.collect()} == {found[i][0]: want[i] for i in range(len(found))}
+
+
 def test_line_dedup_edges(spark, docs, nothing):
     assert linededup.dedup_documents(nothing).count() == 0
     text = "\n".join(" ".join(f"w{i}x{j}" for j in range(20)) for i in range(4))
