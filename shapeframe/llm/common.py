@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes up to which a side may be broadcast. Sides are counted before; above either a shuffled join runs.
 BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 16 << 20
+#: Bytes of an Arrow batch that goes to a worker.
+BATCH_BYTES = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,6 +148,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def over_batches(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
-    """mapInArrow, with this package on the workers."""
-    ship(df.sparkSession)
+    """mapInArrow, with this package on the workers.
+
+    Batches hold at most BATCH_BYTES, or one longer row: the session's limit is lowered to that, for by default a batch of
+    long texts takes 64 MB, several times over in the executor and its workers.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    limit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BYTES))
+    if not 0 < limit <= BATCH_BYTES:
+        spark.conf.set(_BYTES, BATCH_BYTES)
     return df.mapInArrow(run, schema)
