@@ -199,6 +199,34 @@ def test_large_groups_and_long_chains(spark):
     assert got == {rows[i][0]: (n[i], component[i]) for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("chunk", [384, 20])
+def test_each_pair_is_handed_out_in_one_tree(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    run, made = jaccard.over_batches, []
+
+    def counted(df, function, schema):
+        out = run(df, function, schema)
+        if "token" in df.columns and schema == "a long, b long":
+            out = out.localCheckpoint()
+            made.append((out.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "over_batches", counted)
+    r = random.Random(5)
+    rows = []
+    for base, edits, many in ((0, 3, 90), (1, 16, 60)):  # near copies, and texts that mostly are not near enough
+        words = [f"v{base}x{r.randrange(5000)}" for _ in range(200)]
+        for _ in range(many):
+            w = list(words)
+            for _ in range(r.randrange(1, edits + 1)):
+                w[r.randrange(200)] = f"z{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w), None))
+    n, component = linked(rows)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {rows[i][0]: (n[i], component[i]) for i in range(len(rows))}
+    assert all(n <= 1.1 * distinct + 5 for n, distinct in made), made
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 CALC = {"add": {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 0}, "b": {"type": "array", "items": {"type": "number"}}, "r": {"type": "object"}}, "additionalProperties": False}}
