@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
@@ -11,15 +12,27 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..errors import GraphRequired, SelectionWithoutJson
 from ..lineage import cut
-from ..operators.decode import Record, to_json
+from ..operators.decode import Decoder, Record, to_json
 from ..operators.flat import column, ordered
+from ..operators.nest import VALUE
+from ..plans.plan import Query, Repeat
+
+
+#: Roots that the first load of a stream takes at least, and most that come to the driver at once unless a batch is larger.
+FETCH = 1000
+#: Times as many roots as the load before.
+GROWTH = 8
 
 
 def _batches(load: Any) -> Iterator[list[Record]]:
     """The keys are read once, with filter, order and page, and numbered; they stay on the executors.
 
-    Each batch loads its keys as ``by_keys`` does, with the filter again, so a root that went or changed meanwhile is
-    skipped. Numbering sorts by ranges and adds up the ranges' sizes: no single task holds all keys.
+    Many batches are one load by keys, with the filter again, so a root that went or changed before it is skipped. Each
+    load takes GROWTH times as many roots as the one before: the tables are read a few times, not once for each batch,
+    and the first values come soon. Its values stay on the executors, dealt by place, and come FETCH roots (or a batch)
+    at a time. An error in a value ends the stream where its load begins. A view with fields of all levels is loaded a
+    batch at a time, since their rows come to the driver whole. Numbering sorts by ranges and adds up the ranges' sizes:
+    no single task holds all keys.
     """
     q = load.plan()
     rows = load.root(q)
@@ -32,14 +45,38 @@ def _batches(load: Any) -> Iterator[list[Record]]:
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).select("_part", "_start")
     numbered = parts.withColumn("_n", F.row_number().over(inside)).join(F.broadcast(starts), "_part")
-    numbered = cut(numbered.select("key", (F.col("_start") + F.col("_n") - 1).alias("place")))
-    total = numbered.count()
+    # Rows of user SQL with equal keys are loaded once, together.
+    numbered = cut(numbered.groupBy("key").agg(F.min(F.col("_start") + F.col("_n") - 1).alias("place")))
+    total = (numbered.agg(F.max("place")).first()[0] or 0) + 1
     plain = load._with(keys=None, order=[], limit_=None, offset_=0)
-    for start in range(0, total, load.batch):
-        mine = numbered.where((F.col("place") >= start) & (F.col("place") < start + load.batch))
-        places = {r.key: r.place for r in mine.collect()}
-        found = plain.by_keys(list(places))._values()
-        yield [v for _, v in sorted(found, key=lambda p: places[p[0]])]
+    by_batch, start = _all_levels(q), 0
+    many = load.batch if by_batch else -(-max(load.batch, FETCH) // load.batch) * load.batch
+    while start < total:
+        mine = numbered.where((F.col("place") >= start) & (F.col("place") < start + many))
+        yield from _loaded(plain, mine, start, min(many, total - start), load.batch)
+        start += many
+        many *= 1 if by_batch else GROWTH
+
+
+def _all_levels(q: Query) -> bool:
+    found = [c for c in q.children.values() if not isinstance(c, Repeat)]
+    return any(c is None or c.closure or _all_levels(c) for c in found)
+
+
+def _loaded(plain: Any, mine: DataFrame, start: int, many: int, batch: int) -> Iterator[list[Record]]:
+    """The values of some keys (key, place), a batch of places at a time; each batch is decoded on its own."""
+    q, rows, ctx = plain.by_keys(mine).rows()
+    plain.tables.spark.sparkContext.setJobDescription(f"shapeframe.stream {plain.view.name}")
+    places = mine.select(F.col("key").alias("$place_of"), F.col("place").alias("$place"))
+    at_once = max(batch, FETCH)
+    rows = rows.join(places, column(q.key_alias) == column("$place_of")).drop("$place_of")
+    rows = rows.repartitionById(-(-many // at_once), ((column("$place") - start) / at_once).cast("int")).sortWithinPartitions(column("$place"))
+    levels = {name: plain._run(df.collect) for name, df in ctx.closures.items()}
+    found = plain._run(rows.toLocalIterator)
+    rest = iter(lambda: plain._run(lambda: next(found, None)), None)
+    for _, some in groupby(rest, lambda r: r["$place"] // batch):
+        decoder = Decoder(levels)
+        yield [decoder.value(q, r[VALUE], r, ()) for r in some]
 
 
 def stream(load: Any) -> Iterator[Record]:

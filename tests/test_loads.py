@@ -227,6 +227,30 @@ def test_stream_equals_all(t):
     assert list(load.limit(2).offset(1).json_stream()) == load.limit(2).offset(1).json()
 
 
+def test_stream_reads_tables_a_few_times(spark, monkeypatch):
+    from shapeframe.streaming import batches
+
+    monkeypatch.setattr(batches, "FETCH", 4, raising=False)
+    loads, rows = [], Load.rows
+    monkeypatch.setattr(Load, "rows", lambda self, *a: loads.append(1) or rows(self, *a))
+    item = View("Item", "item", {"id": Column(BIGINT), "up": Column(BIGINT)})
+    below = View("Below", "item", {"id": Column(BIGINT), "items": Child("self", "up", recursive=True)})
+    items = Tables(spark, {"item": spark.range(40).select("id", (F.col("id") % 7).alias("up")).where("id <> up")})
+    some = View("Item", "item", {"id": Column(BIGINT), "items": Child(item, "up")})
+    for n in (1, 3):
+        load = Load(some, items).order_by_desc("up").batch_size(n)
+        want = load.all()
+        loads.clear()
+        assert list(load.stream()) == want and len(loads) <= 3
+    assert list(Load(below, items).batch_size(20).stream()) == sorted(Load(below, items).all(), key=lambda v: v.id)
+    twice = Load(item, items).sql("SELECT id, up FROM item WHERE id < 20 UNION ALL SELECT id, up FROM item WHERE id < 20").batch_size(3)
+    assert [v.id for v in twice.stream()] == sorted(v.id for v in twice.all())
+    assert list(Load(item, items).filter(col("id").lt(0)).stream()) == []
+    holes = Tables(spark, {"item": spark.range(9).select("id", F.when(F.col("id") < 6, F.col("id")).alias("up"))})
+    with pytest.raises(DecodeError):
+        list(Load(item, holes).batch_size(2).stream())
+
+
 Employee = View("Employee", "employee", {"id": Column(BIGINT), "name": Column(STRING), "manager": ToOne(lambda: Employee, "manager_id", optional=True, graph=True), "team": ToOne(lambda: Team, "team_id", graph=True)})
 Team = View("Team", "team", {"id": Column(BIGINT), "name": Column(STRING), "members": Child(Employee, "team_id", graph=True)})
 
