@@ -227,6 +227,32 @@ def test_each_pair_is_handed_out_in_one_tree(spark, monkeypatch, chunk):
     assert all(n <= 1.1 * distinct + 5 for n, distinct in made), made
 
 
+def test_few_rows_take_few_jobs_and_tasks_whatever_the_partitions(spark):
+    """Before, a filter's parts came by a job for each partition, and each step read as many parts as the last shuffle had."""
+    r = random.Random(12)
+    base = [f"w{r.randrange(10**6)}" for _ in range(60)]
+    rows = [(i, " ".join(base[: 59 - i % 6] + [f"x{i}"]), "a") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(2)
+    settings = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old, context = {k: spark.conf.get(k) for k in settings}, spark.sparkContext
+    tracker = context.statusTracker()
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few rows", "few rows")
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.link_documents(docs).collect()}
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("few rows")]
+        stages = [tracker.getStageInfo(k) for j in jobs if j for k in j.stageIds]
+        tasks = sum(x.numCompletedTasks for x in stages if x)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    n, component = linked(rows)
+    assert got == {rows[i][0]: (n[i], component[i]) for i in range(len(rows))}
+    assert len(jobs) < 130 and tasks < 1200, (len(jobs), tasks)
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 CALC = {"add": {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 0}, "b": {"type": "array", "items": {"type": "number"}}, "r": {"type": "object"}}, "additionalProperties": False}}
